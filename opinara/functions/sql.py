@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from opinara.functions.text import CLEANING
+from opinara.functions.text import NUMBER_WORDS, PUNCTUATION, SPANS
 
 
 def _literal(pattern: str) -> str:
@@ -14,7 +14,7 @@ def _literal(pattern: str) -> str:
 def register_sql_functions(spark: SparkSession) -> None:
     """Creates the temporary functions ``clean_text(text)`` and ``sentiment_label(code)``."""
     body = "lower(coalesce(t, 'None'))"
-    for pattern in CLEANING:
+    for pattern in (*SPANS, PUNCTUATION, NUMBER_WORDS):
         body = f"regexp_replace({body}, {_literal(pattern)}, '')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION clean_text(t STRING) RETURNS STRING RETURN {body}")
     spark.sql(

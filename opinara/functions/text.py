@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,16 +15,16 @@ from opinara.functions.stopwords import STOP_WORDS
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
 
-# Steps of clean_text after lower-casing, in order: bracketed spans, links, tags, ASCII
-# punctuation together with line feeds, words holding a digit. Possessive quantifiers and the
-# look-behind keep each step linear in the text, also on long junk without a match.
-CLEANING = [
-    r"\[[^\n\]]*+\]",
-    rf"https?://[^{SPACE}]++|www\.[^{SPACE}]++",
-    r"<[^\n>]*+>++",
-    r"[!-/:-@\[-`{-~\n]+",
-    rf"(?<![{WORD}])[{WORD}&&[^\p{{Nd}}]]*+\p{{Nd}}[{WORD}]*+",
+# Steps of clean_text after lower-casing, in order. Possessive quantifiers and the look-behind keep
+# each step linear in the text, also on long junk without a match.
+SPANS = [
+    r"\[[^\n\]]*+\]",  # bracketed spans
+    rf"https?://[^{SPACE}]++|www\.[^{SPACE}]++",  # links
+    r"<[^\n>]*+>++",  # tags
 ]
+PUNCTUATION = r"[!-/:-@\[-`{-~\n]+"  # ASCII punctuation and line feeds
+NUMBER_WORDS = rf"(?<![{WORD}])[{WORD}&&[^\p{{Nd}}]]*+\p{{Nd}}[{WORD}]*+"  # words holding a digit
+_SPAN_STARTS = ["[", "http", "www.", "<"]
 
 # What a plain split on whitespace treats as a separator.
 _BLANKS = " \t\n\x0b\f\r"
@@ -29,10 +32,14 @@ _BLANKS = " \t\n\x0b\f\r"
 
 def clean_text(text: Column) -> Column:
     """Lower-cased text without bracketed spans, links, tags, punctuation, line feeds and number words."""
-    cleaned = F.lower(F.coalesce(text, F.lit("None")))
-    for pattern in CLEANING:
-        cleaned = F.regexp_replace(cleaned, pattern, "")
-    return cleaned
+    lowered = F.lower(F.coalesce(text, F.lit("None")))
+    without_spans = lowered
+    for pattern in SPANS:
+        without_spans = F.regexp_replace(without_spans, pattern, "")
+    # Plain searches are much cheaper than the replacements, which most texts do not need.
+    may_hold_span = reduce(or_, [F.contains(lowered, F.lit(start)) for start in _SPAN_STARTS])
+    plain = F.regexp_replace(F.when(may_hold_span, without_spans).otherwise(lowered), PUNCTUATION, "")
+    return F.when(plain.rlike(r"\p{Nd}"), F.regexp_replace(plain, NUMBER_WORDS, "")).otherwise(plain)
 
 
 def review_len(text: Column) -> Column:

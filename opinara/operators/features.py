@@ -18,31 +18,45 @@ def filtered_tokens(df: DataFrame, text: str, name: str = "words") -> DataFrame:
     return df.withColumn(name, drop_stop_words(tokens(F.col(text))))
 
 
+def explode_words(df: DataFrame, key: str, words: str = "words") -> DataFrame:
+    """``(key, word)``, one row per token.
+
+    The outer generator keeps the optimizer from testing the list for rows first, which would build
+    it twice.
+    """
+    return df.select(key, F.explode_outer(words).alias("word")).where(F.col("word").isNotNull())
+
+
 def term_counts(df: DataFrame, key: str, words: str = "words") -> DataFrame:
     """``(key, term, tf)``, one row per distinct token of a text; ``key`` is unique per row of ``df``.
 
     A sorted token list holds equal tokens side by side, so runs are counted within the row and
-    no token is shuffled.
+    no token is shuffled. The generator is outer for the reason given in ``explode_words``.
     """
+    tokens_sorted, starts = F.col("sorted"), F.col("starts")
     return (
         df.select(key, F.sort_array(words).alias("sorted"))
         .select(
             key,
             "sorted",
             F.filter(
-                F.sequence(F.lit(0), F.size("sorted")),
+                F.sequence(F.lit(0), F.size(tokens_sorted)),
                 lambda i: (i == 0)
-                | (i == F.size("sorted"))
-                | (F.get(F.col("sorted"), i) != F.get(F.col("sorted"), i - 1)),
+                | (i == F.size(tokens_sorted))
+                | (F.get(tokens_sorted, i) != F.get(tokens_sorted, i - 1)),
             ).alias("starts"),
         )
-        .select(key, "sorted", "starts", F.posexplode("starts").alias("i", "start"))
-        .where(F.col("start") < F.size("sorted"))
         .select(
             key,
-            F.get("sorted", F.col("start")).alias("term"),
-            (F.get("starts", F.col("i") + 1) - F.col("start")).alias("tf"),
+            F.transform(
+                F.slice(starts, F.lit(1), F.size(starts) - 1),
+                lambda start, i: F.struct(
+                    F.get(tokens_sorted, start).alias("term"), (F.get(starts, i + 1) - start).alias("tf")
+                ),
+            ).alias("counts"),
         )
+        .select(key, F.inline_outer("counts"))
+        .where(F.col("term").isNotNull())
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions.labels import label_from_rating, sentiment_label
+from opinara.sources.readers import spread
 
 REVIEWS_SQL = """rv0 AS (
   SELECT l.l_orderkey || '-' || l.l_linenumber AS review_id, 'P' || l.l_partkey AS asin,
@@ -159,7 +160,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document texts alone, which needs no labels."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("review_text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("review_text")))
 
 
 def event_category(event_type: Column) -> Column:

@@ -10,6 +10,7 @@ from opinara.functions.stopwords import STOP_WORDS
 from opinara.operators import extraction, features, normalise
 from opinara.plans import tables as t
 from opinara.plans.registry import query
+from opinara.sources.readers import spread
 
 RV = "WITH " + t.REVIEWS_SQL + "\n"
 RD = "WITH " + t.DOCUMENTS_SQL + "\n"
@@ -68,7 +69,7 @@ def clean_text(spark, sf):
 
 @query("clean_pages", "SELECT page_id, " + _clean_sql("html") + " AS reviews FROM pages")
 def clean_pages(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", tx.clean_text(F.col("html")).alias("reviews"))
+    return spread(t.table(spark, sf, "pages")).select("page_id", tx.clean_text(F.col("html")).alias("reviews"))
 
 
 @query("review_len", "WITH " + CLEAN + " SELECT doc_id, CAST(length(reviews) AS INTEGER) AS review_len FROM cl")
@@ -93,7 +94,8 @@ def _filtered(spark, sf):
 
 @query("filtered_tokens", "WITH " + WORDS + " SELECT word, count(*) AS n FROM wd GROUP BY word")
 def filtered_tokens(spark, sf):
-    return _filtered(spark, sf).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = features.explode_words(_filtered(spark, sf), "doc_id")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _counts(spark, sf):
@@ -101,7 +103,7 @@ def _counts(spark, sf):
 
 
 def _vocabulary(spark, sf):
-    return features.vocabulary(_counts(spark, sf), t.texts(spark, sf))
+    return features.vocabulary(_counts(spark, sf), t.table(spark, sf, "documents"))
 
 
 @query("vocabulary", "WITH " + TERMS + " SELECT term, tf, df FROM vocab")
@@ -190,7 +192,7 @@ SELECT page_id, url, CAST(pos AS INTEGER) AS pos, CASE WHEN starts_with(href, 'h
        split_part(substr(href, strpos(href, '/') + 1), '/', 1) AS id FROM h""",
 )
 def extract_links(spark, sf):
-    return extraction.extract_links(t.table(spark, sf, "pages"), marker="/")
+    return extraction.extract_links(spread(t.table(spark, sf, "pages")), marker="/")
 
 
 @query(
@@ -209,7 +211,7 @@ def extract_blocks(spark, sf):
         extraction.Selector(r"(?i)<p\b[^>]*>", r"(?i)</p>|</article>"),
         extraction.Selector(r"(?i)<li\b[^>]*>", r"(?i)</li>"),
     ]
-    pages = t.table(spark, sf, "pages").select("page_id", "html")
+    pages = spread(t.table(spark, sf, "pages").select("page_id", "html"))
     return extraction.extract_blocks(pages, selectors).select("page_id", "selector", "pos", "body")
 
 

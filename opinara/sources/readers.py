@@ -66,6 +66,15 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, starting: str =
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input dealt out to all cores, for work that is heavy per row.
+
+    An input that already has a task for every core, as any large one has, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parse_json(df: DataFrame, schema: T.StructType, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns of a JSON value. Text that is no JSON gives nulls, an unknown field is dropped."""
     return df.select(*keep, F.from_json(F.col(value).cast("string"), schema).alias("data")).select(*keep, "data.*")
