@@ -181,8 +181,7 @@ def prediction_distribution(spark, sf):
 
 def _score(spark, sf, name: str):
     train, _, _ = modelling.balanced_splits(cleaned(rated(spark, sf)), "doc_id")
-    train = train.persist()
-    model = modelling.pipeline(name).fit(train)
+    model = modelling.fit(modelling.classifiers()[name], train.persist())
     train.unpersist()
     texts = t.texts(spark, sf).select("doc_id", clean_text(F.col("review_text")).alias("reviews"))
     scored = model.transform(texts)

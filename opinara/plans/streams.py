@@ -218,7 +218,7 @@ def stream_deduplicated(spark, sf):
 def stream_scores(spark, sf):
     """Documents as JSON records on a file stream, scored by a model trained on the rated ones."""
     train, _, _ = modelling.balanced_splits(learning.cleaned(learning.rated(spark, sf)), "doc_id")
-    model = modelling.pipeline("NaiveBayes").fit(train)
+    model = modelling.fit(modelling.classifiers()["NaiveBayes"], train)
     records = t.documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("reviewerID"),
         "asin",
