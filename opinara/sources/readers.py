@@ -10,6 +10,7 @@ from opinara.operators.filters import dashboard_filter
 from opinara.schema import REVIEW_SCHEMA
 
 CORRUPT = "corrupt_record"
+_EMPTY = "\x00"
 
 
 def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA, with_corrupt: bool = False) -> DataFrame:
@@ -25,8 +26,11 @@ def read_export(spark: SparkSession, path: str, fmt: str, schema: T.StructType)
     if fmt == "json":
         return spark.read.schema(schema).json(path)
     if fmt == "csv":
-        options = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
-        return spark.read.schema(schema).options(**options).csv(path)
+        # A quoted empty field is an empty text, an unquoted one is null; the mark tells them apart.
+        options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "emptyValue": _EMPTY}
+        df = spark.read.schema(schema).options(**options).csv(path)
+        texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+        return df.replace(_EMPTY, "", subset=texts) if texts else df
     raise ValueError(f"format must be json or csv, not {fmt!r}")
 
 
