@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.schema import CATEGORIES, CLASS_LABELS, NEGATIVE, NEUTRAL, POSITIVE
 
@@ -32,24 +33,33 @@ def has_sentiment(wanted: int, code: Column, label: Column) -> Column:
     )
 
 
-def canonical_category(sentiment: Column, label: Column | None = None, unknown: str = "drop") -> Column:
+def canonical_category(
+    sentiment: Column, label: Column | None = None, unknown: str = "drop", numeric: bool = False
+) -> Column:
     """``positive``, ``neutral`` or ``negative`` from a code, a category text, or a label.
 
     ``unknown="drop"`` gives null for anything else, so that the caller can filter it out;
-    ``unknown="neutral"`` counts it as neutral.
+    ``unknown="neutral"`` counts it as neutral. ``numeric`` says the sentiment is a number, which
+    spares turning it into text.
     """
     if unknown not in ("drop", "neutral"):
         raise ValueError(f"unknown must be 'drop' or 'neutral', not {unknown!r}")
-    text = F.lower(sentiment.cast("string"))
+    text = None if numeric else F.lower(sentiment.cast("string"))
     category = None
     for code, name in CATEGORIES.items():
-        spelled = text.isin(str(code), f"{code}.0", name)
+        spelled = sentiment == code if numeric else text.isin(str(code), f"{code}.0", name)
         if label is not None:
-            spelled = F.coalesce(spelled, F.lit(False)) | F.coalesce(F.lower(label) == name, F.lit(False))
+            spelled = spelled | (F.lower(label) == name)
         category = F.when(spelled, name) if category is None else category.when(spelled, name)
     return category.otherwise("neutral") if unknown == "neutral" else category
 
 
+def category_of(df: DataFrame, sentiment: str = "sentiment", label: str | None = "sentiment_label") -> Column:
+    """``canonical_category`` of the columns of ``df``, by the type the sentiment has there."""
+    numeric = isinstance(df.schema[sentiment].dataType, T.NumericType)
+    return canonical_category(F.col(sentiment), F.col(label) if label else None, numeric=numeric)
+
+
 def integer_percent(part: Column, total: Column) -> Column:
     """Share of ``part`` in ``total`` as a whole percentage, half up; 0 where there is no total."""
     share = F.round(F.try_divide(part, total) * 100)

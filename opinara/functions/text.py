@@ -49,7 +49,7 @@ def review_len(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of runs of non-blank characters."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    return F.size(F.filter(F.split(text, f"[{SPACE}]++"), lambda word: word != ""))
 
 
 def concat_review(text: Column, summary: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.functions.labels import canonical_category, integer_percent
+from opinara.functions.labels import category_of, integer_percent
 from opinara.schema import CATEGORIES, CLASS_LABELS
 
 COUNTERS = ("positive", "neutral", "negative")
@@ -46,7 +46,7 @@ def class_imbalance(df: DataFrame, column: str = "sentiment") -> DataFrame:
 
 def sentiment_stats(df: DataFrame, sentiment: str = "sentiment", label: str = "sentiment_label") -> DataFrame:
     """Positive, negative, neutral and total in one pass over the rows."""
-    category = canonical_category(F.col(sentiment), F.col(label))
+    category = category_of(df, sentiment, label)
     return df.agg(*category_counts(category), F.count("*").alias("total"))
 
 
@@ -65,11 +65,17 @@ def product_title(title: str = "title", summary: str | None = None) -> Column:
 
 def known_events(df: DataFrame, sentiment: str = "sentiment", label: str = "sentiment_label") -> DataFrame:
     """Rows with a product and a known category, which is added as ``category``."""
-    return df.withColumn("category", canonical_category(F.col(sentiment), F.col(label))).where(
+    return df.withColumn("category", category_of(df, sentiment, label)).where(
         "category IS NOT NULL AND asin IS NOT NULL AND asin <> ''"
     )
 
 
+def product_counts(df: DataFrame) -> DataFrame:
+    """Per product: counts by category, for products with any event of a known category."""
+    counted = df.where("asin <> ''").groupBy("asin").agg(*category_counts(category_of(df)))
+    return counted.where(total_of_counts() > 0)
+
+
 def product_counters(df: DataFrame, ts: str = "review_ts", title: str = "title", summary: str | None = None) -> DataFrame:
     """Per product: counts by category, and title and time of its first event.
 
@@ -97,7 +103,7 @@ def mask_categories(counters: DataFrame, selected: str = "all") -> DataFrame:
 
 def product_summary(df: DataFrame) -> DataFrame:
     """Per product: number of reviews, mean rating and category counts."""
-    category = canonical_category(F.col("sentiment"))
+    category = category_of(df, label=None)
     return df.groupBy("asin").agg(
         F.count("*").alias("total_reviews"),
         F.avg("overall").alias("average_rating"),
@@ -138,7 +144,7 @@ def daily_counts(df: DataFrame, as_of: Column, days: int = 7, ts: str = "review_
 
 def timeline_points(df: DataFrame, ts: str = "review_ts") -> DataFrame:
     """One point per event: its time, product, category and the value 1."""
-    category = canonical_category(F.col("sentiment"), F.col("sentiment_label"))
+    category = category_of(df)
     points = df.select(
         F.col(ts).alias("x"),
         F.lit(1).alias("y"),

@@ -1,4 +1,8 @@
-"""From raw pages to review records."""
+"""From raw pages to review records.
+
+Generators are outer with a test of their rows behind them: a plain one makes the optimizer test the
+list first, and build it twice.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +44,7 @@ def extract_links(pages: DataFrame, marker: str = "/dp/", url: str = "url", html
     href = unescape_html(F.col("href"))
     found = pages.select(
         *[c for c in pages.columns if c != html],
-        F.posexplode(
+        F.posexplode_outer(
             F.regexp_extract_all(visible_html(F.col(html)), F.lit(r'(?i)<a\s[^>]*?\bhref="([^"]*)"'), 1)
         ).alias("pos", "href"),
     ).where(F.contains(F.col("href"), F.lit(marker)))
@@ -75,7 +79,8 @@ def extract_blocks(pages: DataFrame, selectors: list[Selector], html: str = "htm
     keys = [c for c in pages.columns if c != html]
     return (
         visible.select(*keys, F.coalesce(*choices).alias("found"))
-        .select(*keys, "found.selector", F.posexplode("found.blocks").alias("pos", "block"))
+        .select(*keys, "found.selector", F.posexplode_outer("found.blocks").alias("pos", "block"))
+        .where(F.col("pos").isNotNull())
         .select(*keys, "selector", "pos", "block.opening", "block.body")
     )
 

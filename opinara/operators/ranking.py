@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.labels import integer_percent
-from opinara.operators.aggregates import category_counts, known_events, product_title, total_of_counts
+from opinara.operators.aggregates import product_counts, product_title, total_of_counts
 
 
 def rank_products(counters: DataFrame, k: int = 5) -> DataFrame:
@@ -26,8 +26,7 @@ def top_products(df: DataFrame, titles: DataFrame | None = None, k: int = 5, ts:
     winners. The winners are the broadcast side: at most ``k`` rows. ``titles`` may bring the rows
     with ``asin``, ``title`` and time when ``df`` carries no title.
     """
-    counters = known_events(df).groupBy("asin").agg(*category_counts(F.col("category")))
-    best = F.broadcast(rank_products(counters, k))
+    best = F.broadcast(rank_products(product_counts(df), k))
     named = product_title()
     first_titles = (
         (df if titles is None else titles)
