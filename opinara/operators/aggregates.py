@@ -111,14 +111,17 @@ def product_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def reviews_by_product(df: DataFrame) -> DataFrame:
+def reviews_by_product(df: DataFrame, salts: int = 16) -> DataFrame:
     """Every review next to the summary of its product.
 
     The reviews of a product stay rows: packing them into one list per product would put a hot
-    product into one task. The joined side holds one row per product, and adaptive execution
-    splits a hot product's reviews.
+    product into one task. For the same reason the join key is salted, and each summary row comes
+    once per salt; it also keeps the join from reusing the partitions of the aggregate, which
+    adaptive execution could not split any further.
     """
-    return df.join(product_summary(df), "asin")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    copies = product_summary(df).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["asin", "_salt"]).drop("_salt")
 
 
 def average_rating(df: DataFrame) -> DataFrame:

@@ -26,11 +26,11 @@ def top_products(df: DataFrame, titles: DataFrame | None = None, k: int = 5, ts:
     winners. The winners are the broadcast side: at most ``k`` rows. ``titles`` may bring the rows
     with ``asin``, ``title`` and time when ``df`` carries no title.
     """
-    best = F.broadcast(rank_products(product_counts(df), k))
+    best = rank_products(product_counts(df), k)
     named = product_title()
     first_titles = (
         (df if titles is None else titles)
-        .join(best.select("asin"), "asin", "left_semi")
+        .join(F.broadcast(best.select("asin")), "asin", "left_semi")
         .groupBy("asin")
         .agg(F.min_by(named, F.struct(F.col(ts), named)).alias("title"))
     )
@@ -38,6 +38,7 @@ def top_products(df: DataFrame, titles: DataFrame | None = None, k: int = 5, ts:
         best.join(first_titles, "asin", "left")
         .select("asin", F.coalesce("title", F.concat(F.lit("Product "), "asin")).alias("title"), "total", "positive_percent")
         .orderBy(F.desc("total"), "asin")
+        .limit(k)
     )
 
 

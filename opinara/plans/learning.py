@@ -9,7 +9,6 @@ from opinara.functions.text import clean_text
 from opinara.operators import aggregates, metrics, modelling, sampling
 from opinara.plans import tables as t
 from opinara.plans.registry import query
-from opinara.sources.readers import spread
 
 RD = "WITH " + t.DOCUMENTS_SQL + "\n"
 PR = "WITH " + t.PREDICTIONS_SQL
@@ -32,7 +31,7 @@ def rated(spark, sf):
 
 
 def cleaned(df):
-    return spread(df).select("doc_id", clean_text(F.col("review_text")).alias("reviews"), "sentiment")
+    return df.select("doc_id", clean_text(F.col("review_text")).alias("reviews"), "sentiment")
 
 
 @query("hash_split", RD + _RATED_SQL + "SELECT doc_id, sentiment, split FROM sp")

@@ -144,7 +144,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     withheld = F.coalesce((F.col("quality") == 0) & (F.col("toxic") == 1), F.lit(False))
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .join(labels, "doc_id", "left")
         .select(
             "doc_id",

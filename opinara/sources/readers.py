@@ -73,7 +73,8 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, starting: str =
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a small input dealt out to all cores, for work that is heavy per row.
 
-    An input that already has a task for every core, as any large one has, stays as it is.
+    An input that already has a task for every core, as any large one has, stays as it is. Meant for
+    the plain scan of a table: counting the tasks of anything else could run part of it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
