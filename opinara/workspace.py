@@ -1,29 +1,31 @@
 """Folders for data a job writes on its way: checkpoints, batch tables, round trips.
 
-Executors and driver must all see them, so they live below ``spark.checkpoint.dir``. Only a
-local session, where every task shares the driver's disk, may go without that setting.
+Executors and driver must all see them, so they live below ``spark.checkpoint.dir``, or below the
+warehouse folder of a session without that setting. The session's settings stay as they are.
+Everything is below ``scratch_root``; a caller that has used up its results may remove that folder.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="opinara-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that holds all intermediate data of this library in this session."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/opinara"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path below the shared root that no other run uses."""
-    return f"{shared_root(spark)}/opinara/{purpose}-{uuid.uuid4().hex}"
+    """A path below the scratch root that no other run uses."""
+    return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder: computed once, with no lineage behind it."""
+    spark = df.sparkSession
+    folder = new_folder(spark, purpose)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
