@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import host_rules, urls
+import public_tokenizers
+
+from opinara.llm import host_rules, licences, main_text, preferences, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,3 +77,45 @@ FROM f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source
 @query("op6_quality_rules", QUALITY_SQL)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+@query("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+
+
+@query("op9_licence_scan")
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+PREFERENCE_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
+replies AS (SELECT conv_id, i, text, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM n WHERE role = 'assistant'),
+ends AS (SELECT c.conv_id, l.i AS last, l.text AS good, coalesce(e.text, '') AS poor FROM (SELECT DISTINCT conv_id FROM n) c
+         LEFT JOIN replies l ON c.conv_id = l.conv_id AND l.back = 1 LEFT JOIN replies e ON c.conv_id = e.conv_id AND e.back = 2),
+cut AS (SELECT *, last IS NULL OR good = poor AS equal FROM ends),
+prompt AS (SELECT c.conv_id, count(n.i) AS prompt_turns, coalesce(string_agg('<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10), '' ORDER BY n.i), '') AS prompt
+           FROM cut c LEFT JOIN n ON c.conv_id = n.conv_id AND (c.last IS NULL OR n.i < c.last OR (c.equal AND n.i = c.last)) GROUP BY c.conv_id)
+SELECT c.conv_id, CAST(prompt_turns AS INTEGER) AS prompt_turns, prompt,
+       CASE WHEN equal THEN '' ELSE '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
+       CASE WHEN equal THEN '' ELSE '14:' || (length(good) + 8) END AS chosen_mask,
+       CASE WHEN equal THEN '' ELSE '<|assistant|>' || chr(10) || poor || '<|end|>' || chr(10) END AS rejected,
+       CASE WHEN equal THEN '' ELSE '14:' || (length(poor) + 8) END AS rejected_mask
+FROM cut c JOIN prompt p ON c.conv_id = p.conv_id
+"""
+
+
+@query("op8_preference_pairs", PREFERENCE_SQL)
+def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation up to its last reply, against the same one with its earlier reply in that place."""
+    conversations = preferences.collect_turns(table(spark, sf_dir, "conversations"))
+    chosen, rejected = preferences.with_earlier_reply(F.col("turns"))
+    return preferences.format_pairs(conversations.select("conv_id", chosen.alias("chosen"), rejected.alias("rejected")))
