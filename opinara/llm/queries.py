@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from opinara.llm import host_rules, licences, main_text, preferences, token_counts, urls
+from opinara.llm import host_rules, licences, line_windows, main_text, preferences, templates, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,3 +119,32 @@ def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = preferences.collect_turns(table(spark, sf_dir, "conversations"))
     chosen, rejected = preferences.with_earlier_reply(F.col("turns"))
     return preferences.format_pairs(conversations.select("conv_id", chosen.alias("chosen"), rejected.alias("rejected")))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold an item of the benchmark, with the item."""
+    found = templates.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("doc_key", "doc_id").drop("text_hash")
+
+
+LINES_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+trimmed AS (SELECT doc_id, i, line, regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g') AS t FROM lines),
+numbered AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o, count(*) OVER (PARTITION BY doc_id) AS n FROM trimmed WHERE t <> ''),
+windows AS (SELECT doc_id, o, list(t) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w, n FROM numbered),
+whole AS (SELECT doc_id, o, w FROM windows WHERE len(w) = 3 OR (n < 3 AND o = 1)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, o) AS r FROM whole),
+gone AS (SELECT DISTINCT doc_id, o + k AS o FROM ranked, range(3) AS s(k) WHERE r > 1),
+marked AS (SELECT t.doc_id, t.i, t.line, t.t, g.o IS NOT NULL AS removed FROM trimmed t LEFT JOIN numbered n ON t.doc_id = n.doc_id AND t.i = n.i
+           LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.o = g.o),
+joined AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed) AS rest, bool_or(NOT removed AND t <> '') AS any_left,
+                  count(*) FILTER (removed) AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(j.n_removed, 0) = 0 THEN d.text WHEN j.any_left THEN j.rest ELSE '' END AS text, CAST(coalesce(j.n_removed, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""
+
+
+@query("op3_line_dedup", LINES_SQL)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_windows.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
