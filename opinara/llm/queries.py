@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from opinara.llm import host_rules, licences, line_windows, main_text, preferences, templates, token_counts, urls
+from opinara.llm import host_rules, licences, line_windows, main_text, packing, preferences, templates, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,7 +130,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-trimmed AS (SELECT doc_id, i, line, regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g') AS t FROM lines),
+trimmed AS (SELECT doc_id, i, line, regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g') AS t FROM lines),
 numbered AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o, count(*) OVER (PARTITION BY doc_id) AS n FROM trimmed WHERE t <> ''),
 windows AS (SELECT doc_id, o, list(t) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w, n FROM numbered),
 whole AS (SELECT doc_id, o, w FROM windows WHERE len(w) = 3 OR (n < 3 AND o = 1)),
@@ -148,3 +150,9 @@ FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
 @query("op3_line_dedup", LINES_SQL)
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
