@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from opinara.llm import host_rules, licences, line_windows, main_text, packing, preferences, templates, token_counts, urls
+from opinara.llm import host_rules, jaccard_groups, licences, line_windows, main_text, packing, preferences, templates, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,3 +156,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
