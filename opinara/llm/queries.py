@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
-
 from opinara.llm import host_rules, jaccard_groups, licences, line_windows, main_text, packing, preferences, templates, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
