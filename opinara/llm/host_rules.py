@@ -57,14 +57,14 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 def measures(text: Column) -> Column:
     """A struct of the five measures; a null text counts as empty."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(rf"[^\x20\x09-\x0D]"))
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     body = lambda t: let(
         words_of(t),
         lambda words: F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.regexp_replace(t, BLANK + "+", "")).cast("long").alias("word_chars"),
             (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
         ),
     )

@@ -121,7 +121,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if tag in VOID:
             continue
         if not piece[2]:
-            if tag == "p" or not (kind or tag in ("div", "section", "article", "main") or dropping):
+            if tag in BLOCKS and open_tags and open_tags[-1][0] == "p":
+                close(len(open_tags) - 1)
+            if not kind and (tag == "p" or not (tag in ("div", "section", "article", "main") or dropping)):
                 continue
             if tag == "body":
                 close(0)

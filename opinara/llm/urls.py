@@ -99,8 +99,8 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     best = fits.groupBy("__host", "__path").agg(F.max(order).alias("best"))
     # Written out, so that the join below reads both sides through its own exchange and can split a url that many rows
     # share; merged, since these rows grow with the pages.
-    best = stored(best.select(F.col("__host").alias("h"), F.col("__path").alias("p"), "best.rule", "best.verdict"), "url-verdicts").hint("merge")
-    judged = without(pages, "host", "path", "rule", "verdict").join(best, (F.col("__host") == best.h) & (F.col("__path") == best.p), "left")
+    best = stored(best.select(F.col("__host").alias("__h"), F.col("__path").alias("__p"), "best.rule", "best.verdict"), "url-verdicts").hint("merge")
+    judged = without(pages, "host", "path", "rule", "verdict").join(best, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")), "left")
     return judged.select(
         *[F.col(f"`{c}`") for c in without(df, "host", "path", "rule", "verdict").columns],
         F.col("__host").alias("host"),
