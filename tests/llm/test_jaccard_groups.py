@@ -1,0 +1,128 @@
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
+from opinara.llm import jaccard_groups
+from opinara.llm.components import connected
+
+
+def brute(docs, width, link):
+    sets, parent = {}, {}
+    for i, text in docs:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
+        many = frozenset(tuple(words[k : k + width]) for k in range(len(words) - width + 1))
+        sets[i], parent[i] = many or (frozenset([tuple(words)]) if words else frozenset()), i
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= link * len(sets[a] | sets[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def families(seed):
+    """Texts in families whose members differ by a few words, with chains, a common passage and short texts."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(60)]
+    docs = []
+    for family in range(14):
+        base = [rng.choice(["the", "of", f"w{rng.randint(0, 3000)}"]) for _ in range(rng.choice([6, 30, 80, 150]))] + passage * rng.randint(0, 1)
+        for _ in range(rng.randint(1, 16)):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+                words[rng.randrange(len(words))] = f"e{rng.randint(0, 50)}"
+            if rng.random() < 0.5:
+                base = words
+            if rng.random() < 0.2:
+                words = words[: rng.randint(1, len(words))]
+            docs.append(" ".join(w.upper() if rng.random() < 0.1 else w for w in words))
+    docs += ["a", "A", "a b", "a b c", "a b c d", "a  b\nc", "", None, "...", " ".join(passage), " ".join(passage[:55])]
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("seed, width, link", [(1, 4, 85), (2, 4, 85), (3, 5, 80), (4, 1, 50)])
+def test_equals_brute_force(spark, seed, width, link):
+    docs = families(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups.jaccard_components(df, width=width, link=link).collect()}
+    expected = brute(docs, width, link)
+    assert got == expected
+    if seed < 3:
+        kept = {r.doc_id for r in jaccard_groups.one_of_each(df, width=width, link=link).collect()}
+        assert kept == {c for _, c in expected.values()}
+
+
+def test_more_classes_than_are_broadcast(spark, monkeypatch):
+    docs = families(7)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_groups, "MOST_BROADCAST", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups.jaccard_components(df).collect()}
+    assert got == brute(docs, 4, 85)
+
+
+def test_large_groups_are_not_paired(spark):
+    """Three thousand copies and two thousand near copies of one text give few pairs to compare."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    docs = [" ".join(base)] * 3000
+    for k in range(2000):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{k}"
+        docs.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(8)
+    compared = []
+    verified = jaccard_groups._verified
+
+    def counted(pairs, sets, link):
+        compared.append(pairs.count())
+        return verified(pairs, sets, link)
+
+    jaccard_groups._verified = counted
+    try:
+        rows = jaccard_groups.jaccard_components(df).collect()
+    finally:
+        jaccard_groups._verified = verified
+    assert {r.component_id for r in rows} == {0} and len(rows) == 5000
+    assert sum(compared) < 20_000
+
+
+def test_edges(spark, edge_docs):
+    rows = jaccard_groups.jaccard_components(edge_docs).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in rows) == [
+        (0, 11, 0), (1, 8, 1), (1, 8, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 59_997, 5), (6, 8, 1),
+    ]
+    kept = jaccard_groups.one_of_each(edge_docs)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 3, 4, 5] and kept.columns == edge_docs.columns
+    assert jaccard_groups.jaccard_components(edge_docs.limit(0)).count() == 0
+
+
+def test_connected(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1050)] + [(2000, k) for k in range(2001, 2300)]
+    edges += [(5, None), (None, None), (7000, 7000)]
+    parent = defaultdict(int)
+    near = defaultdict(set)
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    for start in sorted(near):
+        if start not in parent:
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if x not in parent:
+                    parent[x] = start
+                    todo += near[x]
+    got = connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == dict(parent) and len(got) == len(parent)
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -1,0 +1,52 @@
+import html
+import re
+
+import pytest
+
+from opinara.llm.main_text import extract_main_text, main_text
+
+
+def article(page):
+    """The blocks of an article that holds paragraphs and headings only."""
+    body = page[page.index("<article>") + 9 :].split("</article>")[0]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_equals_the_article(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in extract_main_text(pages).collect()}
+    assert got == {r.page_id: (article(r.html), len(article(r.html))) for r in pages.collect()}
+
+
+PROSE = "<p>" + "plain prose that goes on for a while " * 8 + "</p>"
+LINE = ("plain prose that goes on for a while " * 8).strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (None, ""), ("", ""), ("<html></html>", ""), ("just words", "just words"), ("<p>short", "short"),
+        ("<article><p>a&amp;b &lt;p&gt; caf&eacute;&nbsp; x&#8212;y</p></article>", "a&b <p> café x—y"),
+        ("<nav>menu</nav><main><h1>T</h1><p>one<br>two</p><aside>side</aside><p>three</p></main><footer>f</footer>", "T\none two\nthree"),
+        ("<article><h1>T</h1><p>a<script>if (1<2) x('</p>')</script>b</p><!-- c <p>no</p> --><style>p{}</style></article>", "T\nab"),
+        ("<article><p>a</p><div class='ad-box'><div><p>buy</p></div></div><form><p>f</p></form><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><section id=comments><article><p>me too</p></article></section></article><p>out</p>", "a"),
+        ("<article><p>a</p><div class='cookie notice'>ok</div><p style='display:none'>h</p><p>b</article>", "a\nb"),
+        ("<div class='post-body'><p>a</p><p>b</p></div><div>related things</div>", "a\nb"),
+        ("<div><a href=x>Home</a></div><nav><p>n</p></nav>" + PROSE + "<p>tiny</p><footer>f</footer><div>after</div>", f"{LINE}\ntiny"),
+        ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a\nb\n1\n2"),
+        ("<article><p>cut off &am", "cut off &am"),
+        ("<article><p title='a > b'>x</p></article>", "x"),
+    ],
+)
+def test_pages(page, text):
+    assert main_text(page) == text
+
+
+def test_long_pages_and_edges(edge_docs):
+    assert len(main_text("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
+    assert main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("\n") == 49_999
+    rows = extract_main_text(edge_docs.withColumnRenamed("text", "html")).collect()
+    assert len(rows) == 8 and {(r.text, r.n_chars) for r in rows if r.doc_id in (2, 3, 4)} == {("", 0)}
+    assert extract_main_text(edge_docs.limit(0), html="text").count() == 0
