@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,14 +17,24 @@ def visible_html(html: Column) -> Column:
     return F.regexp_replace(html, _INVISIBLE, "")
 
 
+#: Named references, the frequent ones first.
+_NAMES = dict.fromkeys(["amp", "lt", "gt", "quot", "apos", "nbsp", *name2codepoint, *[n[:-1] for n in html5 if n.endswith(";")]])
+_NAMED = json.dumps({name: html5[f"{name};"] for name in _NAMES})
+#: What pages mean by the numbers of control characters: the letters of a common one-byte encoding.
+_MEANT = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+
+
 def _character(number: Column) -> Column:
+    """The character with a number; those for control characters by what they mean, one outside the range as a mark."""
+    meant = F.get(F.array(*[F.lit(c) for c in _MEANT.values()]), (number - 128).cast("int"))
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(number.between(128, 159), meant).when(valid, char).when(number.isNotNull(), "\ufffd")
 
 
 def unescape_html(text: Column) -> Column:
     """Character references replaced, each once: named ones and decimal or hex numbers."""
-    named = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
+    named = F.from_json(F.lit(_NAMED), "map<string, string>")
 
     def resolve(piece: Column) -> Column:
         ref = F.regexp_extract(piece, _ENTITY, 1)

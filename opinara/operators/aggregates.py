@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.labels import category_of, integer_percent
 from opinara.schema import CATEGORIES, CLASS_LABELS
+from opinara.workspace import stored
 
 COUNTERS = ("positive", "neutral", "negative")
 
@@ -111,17 +112,15 @@ def product_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def reviews_by_product(df: DataFrame, salts: int = 16) -> DataFrame:
-    """Every review next to the summary of its product.
+def reviews_by_product(df: DataFrame) -> DataFrame:
+    """Every review next to the summary of its product; reviews without a product id are a product of their own.
 
     The reviews of a product stay rows: packing them into one list per product would put a hot
-    product into one task. For the same reason the join key is salted, and each summary row comes
-    once per salt; it also keeps the join from reusing the partitions of the aggregate, which
-    adaptive execution could not split any further.
+    product into one task. The summaries are a table of their own: joined from the aggregate's partitions, a hot
+    product could not be split by its size, as adaptive execution does with this join.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    copies = product_summary(df).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["asin", "_salt"]).drop("_salt")
+    summary = stored(product_summary(df).withColumnRenamed("asin", "_asin"), "product-summary")
+    return df.join(summary, F.col("asin").eqNullSafe(F.col("_asin"))).drop("_asin")
 
 
 def average_rating(df: DataFrame) -> DataFrame:

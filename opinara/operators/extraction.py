@@ -24,34 +24,64 @@ from opinara.functions.parsing import (
 
 @dataclass(frozen=True)
 class Selector:
-    """A repeated block: the pattern of its opening tag, and of what ends it before the next one opens."""
+    """A repeated block: the pattern of its opening tag, of what ends it before the next one opens, and of what it stands after."""
 
     opening: str
     closing: str | None = None
+    within: str | None = None
+
+
+def tag(name: str, attribute: str, value: str, whole: bool = True) -> str:
+    """Pattern of an opening tag with an attribute of this value, or one that begins with it, in either kind of quotes."""
+    end = "{q}" if whole else "[^{q}]*{q}"
+    either = "|".join(q + value + end.format(q=q) for q in ("\"", "'"))
+    return rf"(?i)<{name}\b[^>]*\s{attribute}\s*=\s*(?:{either})[^>]*>"
 
 
 # Where reviews sit on a product page, best first.
 REVIEW_SELECTORS = [
-    Selector(r'(?i)<div\b[^>]*\bdata-hook="review"[^>]*>'),
-    Selector(r'(?i)<div\b[^>]*\bid="customer_review-[^>]*>'),
-    Selector(r'(?i)<span\b[^>]*\bdata-hook="cr-widget-FocalReviews"[^>]*>'),
+    Selector(tag("div", "data-hook", "review")),
+    Selector(tag("div", "id", "customer_review-", whole=False)),
+    Selector(tag("div", "id", "customer_review-", whole=False), within=tag("span", "data-hook", "cr-widget-FocalReviews")),
 ]
+#: Fixed value: the class of a product's card on a list of products.
+CARD = "p13n-sc-uncoverable-faceout"
+_HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*')"""
+
 
+def absolute(href: Column, url: Column) -> Column:
+    """A link's target as a full address, from the address of its page."""
+    host = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    folder = F.concat(host, F.coalesce(F.nullif(F.regexp_extract(url, r"^https?://[^/?#]+(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")))
+    return (
+        F.when(href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(url, "^https?:", 0), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(host, href))
+        .otherwise(F.concat(folder, href))
+    )
 
-def extract_links(pages: DataFrame, marker: str = "/dp/", url: str = "url", html: str = "html") -> DataFrame:
-    """Links whose target holds ``marker``: position, absolute address, and id, the segment after it."""
-    host = F.regexp_extract(F.col(url), r"^(https?://[^/?#]+)", 1)
-    href = unescape_html(F.col("href"))
+
+def extract_links(pages: DataFrame, marker: str = "/dp/", url: str = "url", html: str = "html", card: str | None = None) -> DataFrame:
+    """Links whose target holds ``marker``: position, absolute address, and id, the segment after it.
+
+    With ``card``, a class, only the first such link in each ``div`` of that class counts, and the position is the card's.
+    """
+    visible = visible_html(F.col(html))
+    targets = lambda source: F.filter(F.regexp_extract_all(source, F.lit(_HREF), 1), lambda h: F.contains(h, F.lit(marker)))
+    if card:
+        cards = F.split(visible, tag("div", "class", card))
+        hrefs = F.transform(F.slice(cards, F.lit(2), F.size(cards)), lambda c: F.get(targets(c), F.lit(0)))
+    else:
+        hrefs = F.regexp_extract_all(visible, F.lit(_HREF), 1)
+    quoted = F.col("href")
+    href = unescape_html(F.substr(quoted, F.lit(2), F.length(quoted) - 2))
     found = pages.select(
-        *[c for c in pages.columns if c != html],
-        F.posexplode_outer(
-            F.regexp_extract_all(visible_html(F.col(html)), F.lit(r'(?i)<a\s[^>]*?\bhref="([^"]*)"'), 1)
-        ).alias("pos", "href"),
-    ).where(F.contains(F.col("href"), F.lit(marker)))
+        *[c for c in pages.columns if c != html], F.posexplode_outer(hrefs).alias("pos", "href")
+    ).where(F.contains(quoted, F.lit(marker)))
     return found.select(
         *[c for c in pages.columns if c != html],
         "pos",
-        F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(host, href)).alias("link"),
+        absolute(href, F.col(url)).alias("link"),
         F.substring_index(F.substr(href, F.instr(href, marker) + F.lit(len(marker))), "/", 1).alias("id"),
     )
 
@@ -69,11 +99,13 @@ def _blocks_of(html: Column, selector: Selector) -> Column:
 def extract_blocks(pages: DataFrame, selectors: list[Selector], html: str = "html") -> DataFrame:
     """Repeated blocks of a page by the first selector that finds any: its number, position, tag, content."""
     visible = pages.withColumn(html, visible_html(F.col(html)))
+
+    def region(s: Selector) -> Column:
+        """What follows the first place the blocks stand after."""
+        return F.col(html) if s.within is None else F.get(F.split(F.col(html), s.within, 2), F.lit(1))
+
     choices = [
-        F.when(
-            F.col(html).rlike(s.opening),
-            F.struct(F.lit(i).alias("selector"), _blocks_of(F.col(html), s).alias("blocks")),
-        )
+        F.when(region(s).rlike(s.opening), F.struct(F.lit(i).alias("selector"), _blocks_of(region(s), s).alias("blocks")))
         for i, s in enumerate(selectors, 1)
     ]
     keys = [c for c in pages.columns if c != html]
@@ -103,7 +135,8 @@ def _first_span(source: Column) -> Column:
 def review_fields(blocks: DataFrame) -> DataFrame:
     """Raw strings of each review block, by the page's markup."""
     body = F.col("body")
-    element_id = F.regexp_extract("opening", r'(?i)\bid="([^"]*)"', 1)
+    element_id = F.regexp_extract("opening", r"""(?i)\sid\s*=\s*["']([^"']*)["']""", 1)
+    # Fixed values below: the elements and attributes that hold a review's fields.
     return blocks.select(
         *[c for c in blocks.columns if c not in ("opening", "body")],
         parse_review_id(element_id).alias("review_id"),

@@ -10,7 +10,6 @@ from opinara.functions.text import clean_text, drop_stop_words, review_len, toke
 # Term statistics of the sentiment model.
 MIN_DF = 5
 MAX_DF = 0.8
-VOCABULARY_SIZE = 1 << 18
 
 
 def filtered_tokens(df: DataFrame, text: str, name: str = "words") -> DataFrame:
@@ -60,21 +59,14 @@ def term_counts(df: DataFrame, key: str, words: str = "words") -> DataFrame:
     )
 
 
-def vocabulary(
-    counts: DataFrame, documents: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, size: int = VOCABULARY_SIZE
-) -> DataFrame:
-    """Terms found in at least ``min_df`` texts and at most the share ``max_df`` of them: ``term, tf, df, m``.
-
-    Beyond ``size`` terms the most frequent ones stay, which bounds the result.
-    """
+def vocabulary(counts: DataFrame, documents: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+    """Terms found in at least ``min_df`` texts and at most the share ``max_df`` of them: ``term, tf, df, m``."""
     m = documents.agg(F.count("*")).scalar()
     return (
         counts.groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
         .withColumn("m", m)
         .where((F.col("df") >= min_df) & (F.col("df") <= F.col("m") * max_df))
-        .orderBy(F.desc("tf"), "term")
-        .limit(size)
     )
 
 
@@ -85,10 +77,8 @@ def idf_weights(vocab: DataFrame, min_doc_freq: int = MIN_DF) -> DataFrame:
 
 
 def tfidf(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """``(key, term, tfidf)``. The weights are broadcast: the vocabulary size bounds them."""
-    return counts.join(F.broadcast(weights), "term").select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("tfidf")
-    )
+    """``(key, term, tfidf)``. Weights have one row per term; the planner broadcasts them by size or splits a hot term."""
+    return counts.join(weights, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def lexicon_polarity(df: DataFrame, lexicon: DataFrame, key: str, words: str = "words") -> DataFrame:

@@ -38,13 +38,16 @@ def text_present(column: str = "review_text") -> Column:
     return F.col(column).isNotNull()
 
 
+def range_start(time_range: str | None, as_of: Column) -> Column | None:
+    """When a named range before ``as_of`` begins; null for other names."""
+    days = TIME_RANGE_DAYS.get(time_range)
+    return None if days is None else as_of - F.expr(f"INTERVAL '{days}' DAY")
+
+
 def in_time_range(time_range: str | None, as_of: Column, ts_columns: tuple[str, ...] = ("review_ts",)) -> Column | None:
     """At or after the start of a named range in any of the time columns; no predicate for other names."""
-    days = TIME_RANGE_DAYS.get(time_range)
-    if days is None:
-        return None
-    start = as_of - F.expr(f"INTERVAL '{days}' DAY")
-    return reduce(or_, [F.col(c) >= start for c in ts_columns])
+    start = range_start(time_range, as_of)
+    return None if start is None else reduce(or_, [F.col(c) >= start for c in ts_columns])
 
 
 def in_sentiment(category: str, code: str = "sentiment", label: str = "sentiment_label") -> Column:

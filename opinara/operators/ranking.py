@@ -49,7 +49,20 @@ def latest(df: DataFrame, n: int = 100, ts: str = "review_ts", tie_break: list[s
 
 
 def limit_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """At most ``n`` rows per group. Spark cuts each task's groups to ``n`` before the shuffle."""
+    """At most ``n`` rows per group.
+
+    Spark cuts each task's groups to ``n`` before the shuffle, up to its own bound for ``n``. Beyond that the rows
+    of a group are first ranked by the task they come from, so that no task gets a hot group whole
+    and only the best ``n`` of each meet.
+    """
+    bound = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > bound:
+        parts = df.withColumn("_part", F.spark_partition_id())
+        df = _cut(parts, [*keys, "_part"], order, n).drop("_part")
+    return _cut(df, keys, order, n)
+
+
+def _cut(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n).drop("_rank")
 

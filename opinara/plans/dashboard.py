@@ -127,11 +127,15 @@ def product_summary(spark, sf):
 @query(
     "reviews_by_product",
     RV
-    + f""", s AS (SELECT asin, count(*) AS total_reviews, avg(overall) AS average_rating, {_COUNTS} FROM rv GROUP BY asin)
-SELECT rv.asin, review_id, overall, review_ts, total_reviews, average_rating, positive, neutral, negative FROM rv JOIN s ON rv.asin = s.asin""",
+    + f""", sm AS (SELECT * REPLACE (CASE WHEN ord_hint % 10 = 0 THEN NULL WHEN ord_hint % 10 = 1 THEN '' ELSE asin END AS asin) FROM rv),
+s AS (SELECT asin, count(*) AS total_reviews, avg(overall) AS average_rating, {_COUNTS} FROM sm GROUP BY asin)
+SELECT sm.asin, review_id, overall, review_ts, total_reviews, average_rating, positive, neutral, negative FROM sm JOIN s ON sm.asin IS NOT DISTINCT FROM s.asin""",
 )
 def reviews_by_product(spark, sf):
-    return aggregates.reviews_by_product(t.facts_only(spark, sf)).select(
+    """Some reviews have no product id, some an empty one."""
+    hint = F.col("ord_hint") % 10
+    some = t.facts_only(spark, sf).withColumn("asin", F.when(hint == 1, "").when(hint != 0, F.col("asin")))
+    return aggregates.reviews_by_product(some).select(
         "asin", "review_id", "overall", "review_ts", "total_reviews", "average_rating", "positive", "neutral", "negative"
     )
 
@@ -165,6 +169,31 @@ def sentiment_timeline_hourly(spark, sf):
     return aggregates.hourly_timeline(points).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "category", "n")
 
 
+@query(
+    "top_products_masked",
+    RV
+    + f""", n AS (SELECT asin, count(*) AS total FROM rv WHERE category = 'positive' AND overall < 5 GROUP BY asin)
+SELECT asin, total AS positive, CAST(0 AS BIGINT) AS neutral, CAST(0 AS BIGINT) AS negative, total FROM n ORDER BY total DESC, asin LIMIT 5""",
+)
+def top_products_masked(spark, sf):
+    """Filter, then counts of the shown category only, then the five products with most of them."""
+    shown = t.facts_only(spark, sf).where(F.col("overall") < 5)
+    masked = aggregates.mask_categories(aggregates.product_counts(shown), "positive")
+    return ranking.rank_products(masked).drop("positive_percent")
+
+
+@query(
+    "sentiment_timeline_filtered",
+    RV
+    + """SELECT date_trunc('hour', review_ts) AS hour, category, count(*) AS n FROM rv
+WHERE sentiment = 0 AND review_ts >= (SELECT max(review_ts) FROM rv) - INTERVAL 90 DAY GROUP BY 1, 2""",
+)
+def sentiment_timeline_filtered(spark, sf):
+    facts = t.facts_only(spark, sf)
+    shown = filters.dashboard_filter(facts, time_range="90d", sentiment="negative", as_of=filters.latest_time(facts))
+    return aggregates.hourly_timeline(aggregates.timeline_points(shown))
+
+
 @query("product_options", RV + f", f AS ({_FIRST_TITLE}) SELECT asin AS value, asin || ': ' || title AS label FROM f ORDER BY label, value")
 def product_options(spark, sf):
     return aggregates.product_options(t.titled(spark, sf))

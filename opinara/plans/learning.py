@@ -48,7 +48,7 @@ c AS (SELECT sentiment, count(*) AS n FROM tr GROUP BY 1),
 f AS (SELECT tr.doc_id, tr.sentiment, (SELECT max(n) FROM c) / c.n AS f, {_hash_sql("copy", "tr.doc_id")} / 16777216.0 AS u
   FROM tr JOIN c ON tr.sentiment = c.sentiment),
 k AS (SELECT doc_id, sentiment, floor(f) + CASE WHEN u < f - floor(f) THEN 1 ELSE 0 END AS k FROM f)
-SELECT doc_id, sentiment, CAST(unnest(range(1, CAST(k AS BIGINT) + 1)) AS INTEGER) AS copy FROM k""",
+SELECT doc_id, sentiment, unnest(range(1, CAST(k AS BIGINT) + 1)) AS copy FROM k""",
 )
 def oversample_balanced(spark, sf):
     parts = hash_split(spark, sf)

@@ -69,9 +69,9 @@ def kafka_envelope(spark, sf):
     return sinks.kafka_envelope(record)
 
 
-@query("json_envelope", RD + "SELECT doc_id, kept_text, overall, lang FROM rd")
+@query("json_envelope", RD + "SELECT doc_id, review_text, overall, lang FROM rd")
 def json_envelope(spark, sf):
-    rows = t.documents(spark, sf).select("doc_id", "kept_text", "overall", "lang")
+    rows = t.documents(spark, sf).select("doc_id", "review_text", "overall", "lang")
     return readers.parse_json(sinks.json_envelope(rows), rows.schema)
 
 
@@ -90,7 +90,7 @@ def _export_rows(spark, sf):
         F.col("lang").alias("reviewer_name"),
         F.col("summary").alias("title"),
         "overall",
-        F.col("kept_text").alias("reviewText"),
+        F.col("review_text").alias("reviewText"),
         none.alias("date"),
         F.lit(0).alias("helpful_votes"),
         F.lit(0).alias("total_votes"),
@@ -98,7 +98,7 @@ def _export_rows(spark, sf):
     )
 
 
-_EXPORT_SQL = """SELECT CAST(doc_id AS VARCHAR) AS reviewerID, asin, lang AS reviewer_name, summary AS title, overall, kept_text AS reviewText,
+_EXPORT_SQL = """SELECT CAST(doc_id AS VARCHAR) AS reviewerID, asin, lang AS reviewer_name, summary AS title, overall, review_text AS reviewText,
 CAST(NULL AS VARCHAR) AS date, 0 AS helpful_votes, 0 AS total_votes, CAST(NULL AS VARCHAR) AS scrape_time FROM rd"""
 
 
@@ -119,16 +119,25 @@ def export_json_roundtrip(spark, sf):
     return _export_roundtrip(spark, sf, "json")
 
 
-@query(
-    "read_results",
-    RV + f"SELECT {FACTS} FROM rv WHERE asin = 'P7' AND review_ts >= (SELECT max(review_ts) FROM rv) - INTERVAL 90 DAY",
-)
-def read_results(spark, sf):
+def _results(spark, sf, **conditions):
+    """Results of the last 90 days, read back from storage."""
     path = new_folder(spark, "results")
     facts = t.facts_only(spark, sf)
     sinks.write_results(facts, path)
-    found = readers.read_results(spark, path, product="P7", time_range="last-90d", as_of=filters.latest_time(facts))
-    return found.select(*t.FACT_COLUMNS)
+    return readers.read_results(spark, path, time_range="last-90d", as_of=filters.latest_time(facts), **conditions).select(*t.FACT_COLUMNS)
+
+
+_RECENT = RV + f"SELECT {FACTS} FROM rv WHERE review_ts >= (SELECT max(review_ts) FROM rv) - INTERVAL 90 DAY"
+
+
+@query("read_results", _RECENT)
+def read_results(spark, sf):
+    return _results(spark, sf)
+
+
+@query("read_results_latest", _RECENT + " ORDER BY review_ts DESC, " + ", ".join(["review_id", *[c for c in t.FACT_COLUMNS if c not in ("review_ts", "review_id")]]) + " LIMIT 50")
+def read_results_latest(spark, sf):
+    return _results(spark, sf, limit=50)
 
 
 # Streams
@@ -143,7 +152,8 @@ def _stream(spark, sf, name: str):
 def _stored(spark, stream, name: str, mode: str = "append", sink=sinks.batch_folder) -> str:
     """Runs a stream to the end of its input and returns where its batches are."""
     folder = new_folder(spark, name)
-    sinks.run_available(stream, sink(f"{folder}/rows"), f"{folder}/checkpoint", folder.rsplit("/", 1)[1], mode)
+    with running.state_on_disk(spark):
+        sinks.run_available(stream, sink(f"{folder}/rows"), f"{folder}/checkpoint", folder.rsplit("/", 1)[1], mode)
     return f"{folder}/rows"
 
 
@@ -172,13 +182,12 @@ count(*) FILTER (category = 'negative') AS negative"""
 
 
 def _counters(spark, sf):
-    running.keep_state_on_disk(spark)
     return running.running_counters(t.as_events(_stream(spark, sf, "events")))
 
 
 @query("stream_counters", EV + _EV_COUNTS + " FROM ev GROUP BY asin")
 def stream_counters(spark, sf):
-    path = _stored(spark, _counters(spark, sf), "stream-counters", "update")
+    path = _stored(spark, _counters(spark, sf), "stream-counters", "update", lambda p: running.versioned_rows(p, ["asin"]))
     return running.current_rows(spark, path, ["asin"])
 
 
@@ -200,18 +209,18 @@ def stream_latest(spark, sf):
 
 @query("stream_hourly", EV + "SELECT date_trunc('hour', ts) AS hour, category, count(*) AS n FROM ev GROUP BY 1, 2")
 def stream_hourly(spark, sf):
-    running.keep_state_on_disk(spark)
     hourly = running.hourly_counts(t.as_events(_stream(spark, sf, "events")))
-    path = _stored(spark, hourly, "stream-hourly", "update")
+    path = _stored(spark, hourly, "stream-hourly", "update", lambda p: running.versioned_rows(p, ["hour", "category"]))
     return _ntz(running.current_rows(spark, path, ["hour", "category"]), "hour")
 
 
-@query("stream_deduplicated", EV + "SELECT event_id, asin FROM ev")
+@query("stream_deduplicated", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
 def stream_deduplicated(spark, sf):
-    running.keep_state_on_disk(spark)
-    events = t.as_events(_stream(spark, sf, "events")).select("event_id", "ts", "asin")
-    path = _stored(spark, running.drop_redelivered(events, ["asin", "event_id"], "ts", "31 days"), "stream-dedup")
-    return spark.read.parquet(path).select("event_id", "asin")
+    """Line items come again under the same order and line; the delay spans all of them."""
+    keys = ["l_orderkey", "l_linenumber"]
+    lines = _stream(spark, sf, "lineitem").select(*keys, F.col("l_shipdate").cast("timestamp").alias("ts"))
+    path = _stored(spark, running.drop_redelivered(lines, keys, "ts", "4000 days"), "stream-dedup")
+    return spark.read.parquet(path).select(*keys)
 
 
 @query("stream_scores")
@@ -223,7 +232,7 @@ def stream_scores(spark, sf):
         F.col("doc_id").cast("string").alias("reviewerID"),
         "asin",
         F.col("lang").alias("reviewerName"),
-        F.col("kept_text").alias("reviewText"),
+        F.col("review_text").alias("reviewText"),
         F.col("overall").cast("float").alias("overall"),
         "summary",
     )

@@ -11,6 +11,7 @@ from opinara.operators import extraction, features, normalise
 from opinara.plans import tables as t
 from opinara.plans.registry import query
 from opinara.sources.readers import spread
+from opinara.workspace import stored
 
 RV = "WITH " + t.REVIEWS_SQL + "\n"
 RD = "WITH " + t.DOCUMENTS_SQL + "\n"
@@ -41,7 +42,7 @@ TERMS = (
     WORDS
     + """, tf AS (SELECT doc_id, word AS term, count(*) AS tf FROM wd GROUP BY 1, 2),
 df AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df, (SELECT count(*) FROM documents) AS m FROM tf GROUP BY term),
-vocab AS (SELECT * FROM df WHERE df >= 5 AND df <= 0.8 * m ORDER BY tf DESC, term LIMIT 262144),
+vocab AS (SELECT * FROM df WHERE df >= 5 AND df <= 0.8 * m),
 idf AS (SELECT term, df, ln((m + 1) / (df + 1)) AS idf FROM vocab)"""
 )
 
@@ -56,10 +57,10 @@ def fill_empty_text(spark, sf):
     return normalise.fill_empty(t.documents(spark, sf).select("doc_id", "kept_text", "summary"), ["kept_text", "summary"])
 
 
-@query("concat_review", RD + "SELECT doc_id, coalesce(kept_text, 'Missing') || summary AS reviews FROM rd")
+@query("concat_review", RD + "SELECT doc_id, coalesce(review_text, 'Missing') || summary AS reviews FROM rd")
 def concat_review(spark, sf):
-    filled = normalise.fill_missing(t.documents(spark, sf), ["kept_text"])
-    return filled.select("doc_id", tx.concat_review(F.col("kept_text"), F.col("summary")).alias("reviews"))
+    filled = normalise.fill_missing(t.documents(spark, sf), ["review_text"])
+    return filled.select("doc_id", tx.concat_review(F.col("review_text"), F.col("summary")).alias("reviews"))
 
 
 @query("clean_text", "WITH " + CLEAN + " SELECT doc_id, reviews FROM cl")
@@ -118,8 +119,10 @@ def idf_weights(spark, sf):
 
 @query("tfidf", "WITH " + TERMS + " SELECT tf.doc_id, tf.term, round(tf.tf * idf.idf, 9) AS tfidf FROM tf JOIN idf ON tf.term = idf.term")
 def tfidf(spark, sf):
-    weights = features.idf_weights(_vocabulary(spark, sf))
-    return features.tfidf(_counts(spark, sf), weights, "doc_id").withColumn("tfidf", F.round("tfidf", 9))
+    # Counted once, as a table, which the weights and the join with them both read.
+    counts = stored(_counts(spark, sf), "term-counts")
+    weights = features.idf_weights(features.vocabulary(counts, t.table(spark, sf, "documents")))
+    return features.tfidf(counts, stored(weights, "idf-weights"), "doc_id").withColumn("tfidf", F.round("tfidf", 9))
 
 
 # A user's word scores; these are frequent words of the documents.
@@ -280,14 +283,14 @@ def _raw_fields(spark, sf):
         F.col("lang").alias("reviewer_name"),
         F.col("summary").alias("title"),
         rating.alias("rating_text"),
-        F.col("kept_text").alias("reviewText"),
+        F.col("review_text").alias("reviewText"),
         F.lit("Reviewed on March 5, 2024").alias("date_text"),
         F.lit(None).cast("string").alias("helpful_text"),
     )
 
 
-_RAW = """, p AS (SELECT doc_id, CASE WHEN summary IS NULL THEN 'title' WHEN overall IS NULL THEN 'rating' WHEN kept_text IS NULL THEN 'text' END AS reject_reason,
-  lang, summary, overall, kept_text FROM rd)
+_RAW = """, p AS (SELECT doc_id, CASE WHEN summary IS NULL THEN 'title' WHEN overall IS NULL THEN 'rating' WHEN review_text IS NULL THEN 'text' END AS reject_reason,
+  lang, summary, overall, review_text FROM rd)
 """
 
 
@@ -301,7 +304,7 @@ def extract_rejects(spark, sf):
     "extract_records",
     RD
     + _RAW
-    + """SELECT doc_id, lang AS reviewer_name, summary AS title, overall, kept_text AS reviewText, '2024-03-05' AS date, 0 AS helpful_votes, 0 AS total_votes
+    + """SELECT doc_id, lang AS reviewer_name, summary AS title, overall, review_text AS reviewText, '2024-03-05' AS date, 0 AS helpful_votes, 0 AS total_votes
 FROM p WHERE reject_reason IS NULL""",
 )
 def extract_records(spark, sf):

@@ -35,6 +35,9 @@ SCORED_SCHEMA = T.StructType(
     ]
 )
 
+#: Stored results have a folder per period of this time, named by this pattern; names sort as the periods do.
+RESULT_TIME, PERIOD = "review_ts", "yyyy-MM"
+
 # Field names of the training file (JSON lines).
 TRAINING_SCHEMA = T.StructType(
     [

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.operators.filters import dashboard_filter
-from opinara.schema import REVIEW_SCHEMA
+from opinara.operators.filters import dashboard_filter, range_start
+from opinara.schema import PERIOD, RESULT_TIME, REVIEW_SCHEMA
 
 CORRUPT = "corrupt_record"
 _EMPTY = "\x00"
@@ -39,10 +39,15 @@ def read_results(
 ) -> DataFrame:
     """Stored results, all or by the conditions of ``dashboard_filter``, newest first under a limit.
 
-    Conditions on time also prune the day folders the results are stored in.
+    A time range also prunes the folders ``sinks.write_results`` made, one per period: its start,
+    written like a period, is no later than any period in the range.
     """
     df = spark.read.parquet(path)
-    found = dashboard_filter(df, as_of=as_of, **conditions)
+    now = F.current_timestamp() if as_of is None else as_of
+    start = range_start(conditions.get("time_range"), now)
+    if start is not None and conditions.get("ts_columns", (RESULT_TIME,)) == (RESULT_TIME,):
+        df = df.where(F.col("period").cast("string") >= F.date_format(start, PERIOD))
+    found = dashboard_filter(df, as_of=now, **conditions)
     if limit is not None:
         found = found.orderBy(F.desc("review_ts"), "review_id", *[c for c in df.columns if c not in ("review_ts", "review_id")]).limit(limit)
     return found
@@ -70,14 +75,17 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, starting: str =
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input dealt out to all cores, for work that is heavy per row.
+SPREAD_CONF = "opinara.spread.tasks"
 
-    An input that already has a task for every core, as any large one has, stays as it is. Meant for
-    the plain scan of a table: counting the tasks of anything else could run part of it.
+
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt out to ``tasks`` tasks, for work that is heavy per row on files that can't be split.
+
+    The number is the caller's, here or as the session's setting ``opinara.spread.tasks``; without one the
+    scan's own tasks stay, as they should for any table of many files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = tasks or int(df.sparkSession.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(tasks) if tasks else df
 
 
 def parse_json(df: DataFrame, schema: T.StructType, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:

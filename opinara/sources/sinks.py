@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from opinara.schema import EXPORT_COLUMNS
+from opinara.schema import EXPORT_COLUMNS, PERIOD, RESULT_TIME
 
-_ROWS_PER_FILE = 1_000_000
+_ROWS_PER_FILE = 50_000
 
 
 def json_value(df: DataFrame, *columns: str) -> Column:
@@ -52,12 +52,12 @@ def export_reviews(df: DataFrame, path: str, fmt: str, columns: list[str] | None
     ).csv(path)
 
 
-def write_results(df: DataFrame, path: str, ts: str = "review_ts", by: str = "yyyy-MM") -> None:
-    """Stores results in one folder per period, for pruning by time.
+def write_results(df: DataFrame, path: str) -> None:
+    """Stores results in one folder per month, for pruning by time.
 
     The rebalance hint lets adaptive execution split a hot period and merge small ones.
     """
-    dated = df.withColumn("period", F.date_format(ts, by))
+    dated = df.withColumn("period", F.date_format(RESULT_TIME, PERIOD))
     dated.hint("rebalance", "period").write.mode("overwrite").partitionBy("period").parquet(path)
 
 

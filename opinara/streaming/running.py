@@ -6,6 +6,10 @@ the driver ever sees the whole state.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +17,19 @@ from opinara.operators.aggregates import category_counts, known_events
 from opinara.operators.ranking import dedup_latest
 from opinara.sources.sinks import BatchSink
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def keep_state_on_disk(spark: SparkSession) -> None:
-    """State of queries started from here on lives in RocksDB instead of the executors' heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """State of queries started inside lives in RocksDB instead of the executors' heap; the session's setting comes back after."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def running_counters(events: DataFrame) -> DataFrame:
@@ -45,9 +56,35 @@ def drop_redelivered(records: DataFrame, keys: list[str], ts: str, delay: str) -
     return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of each row that ``batch_folder`` stored in update mode."""
-    return dedup_latest(spark.read.parquet(path), keys, "batch_id").drop("batch_id")
+def versioned_rows(path: str, keys: list[str], every: int = 20) -> BatchSink:
+    """Sink for update mode: the changed rows of each batch, and a snapshot of all rows after ``every`` batches.
+
+    A snapshot is made of the one before it and the batches since, so reading never goes further back. Both kinds of
+    folders are named by batch, and a replay writes the same one again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
+        if (batch_id + 1) % every == 0:
+            rows = _rows_at(batch.sparkSession, path, keys, batch_id, every, batch_id - every)
+            rows.write.mode("overwrite").parquet(f"{path}/snapshots/batch_id={batch_id}")
+
+    return write
+
+
+def _rows_at(spark: SparkSession, path: str, keys: list[str], last: int, every: int, snapshot: int) -> DataFrame:
+    """Rows as of batch ``last``, from the snapshot of an earlier batch (if not negative) and the changes after it."""
+    folders = {i: f"{path}/changes/batch_id={i}" for i in range(max(snapshot, -1) + 1, last + 1)}
+    versions = [spark.read.parquet(folder).withColumn("_version", F.lit(i)) for i, folder in folders.items()]
+    if snapshot >= 0:
+        versions.append(spark.read.parquet(f"{path}/snapshots/batch_id={snapshot}").withColumn("_version", F.lit(snapshot)))
+    return dedup_latest(reduce(DataFrame.unionByName, versions), keys, "_version").drop("_version")
+
+
+def current_rows(spark: SparkSession, path: str, keys: list[str], every: int = 20) -> DataFrame:
+    """The newest version of each row that ``versioned_rows`` stored: the last snapshot and the changes after it."""
+    last = spark.read.parquet(f"{path}/changes").agg(F.max("batch_id")).first()[0]
+    return _rows_at(spark, path, keys, last, every, (last + 1) // every * every - 1)
 
 
 def best_so_far(path: str, order: list[Column], n: int, key: str | None = None) -> BatchSink:

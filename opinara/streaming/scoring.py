@@ -17,7 +17,7 @@ PASSTHROUGH = ["reviewerID", "asin", "reviewerName", "reviewText", "overall", "s
 
 
 def collected_to_stream(raw: DataFrame) -> DataFrame:
-    """Collected records under the field names the scoring stream reads."""
+    """Collected records under the field names the scoring stream reads; a date that can't be read or told in 32 bits gives null."""
     return raw.select(
         F.lit(None).cast("string").alias("reviewerID"),
         "asin",
@@ -26,7 +26,7 @@ def collected_to_stream(raw: DataFrame) -> DataFrame:
         "reviewText",
         F.col("overall").cast("float").alias("overall"),
         F.col("title").alias("summary"),
-        F.unix_timestamp(F.to_date("date")).cast("int").alias("unixReviewTime"),
+        F.unix_timestamp(F.col("date").try_cast("date").cast("timestamp")).try_cast("int").alias("unixReviewTime"),
         F.col("date").alias("reviewTime"),
     )
 
