@@ -25,11 +25,11 @@ _MEANT = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128,
 
 
 def _character(number: Column) -> Column:
-    """The character with a number; those for control characters by what they mean, one outside the range as a mark."""
+    """The character with a number; those for control characters by what they mean; null for a number of none."""
     meant = F.get(F.array(*[F.lit(c) for c in _MEANT.values()]), (number - 128).cast("int"))
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    return F.when(number.between(128, 159), meant).when(valid, char).when(number.isNotNull(), "\ufffd")
+    return F.when(number.between(128, 159), meant).when(valid, char)
 
 
 def unescape_html(text: Column) -> Column:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from opinara.functions.labels import label_from_rating, sentiment_label
 from opinara.functions.text import clean_text
-from opinara.operators import aggregates, metrics, modelling, sampling
+from opinara.operators import aggregates, metrics, modelling, sampling, training
 from opinara.plans import tables as t
 from opinara.plans.registry import query
+from opinara.plans.text import TERM_COUNTS
+from opinara.workspace import new_folder
 
 RD = "WITH " + t.DOCUMENTS_SQL + "\n"
 PR = "WITH " + t.PREDICTIONS_SQL
@@ -175,34 +177,120 @@ def prediction_distribution(spark, sf):
     return aggregates.class_distribution(t.predictions(spark, sf), "prediction")
 
 
-# Trained models. Their floats depend on summation order, so only rows and schema are checked.
+# Trained models. Bayes is arithmetic that SQL can repeat; for the others SQL states what must hold on the same splits.
 
 
-def _score(spark, sf, name: str):
+def _trained(spark, sf, name: str):
     train, _, _ = modelling.balanced_splits(cleaned(rated(spark, sf)), "doc_id")
     model = modelling.fit(modelling.classifiers()[name], train.persist())
     train.unpersist()
+    return model
+
+
+def _scored(spark, sf, model):
     texts = t.texts(spark, sf).select("doc_id", clean_text(F.col("review_text")).alias("reviews"))
-    scored = model.transform(texts)
-    return scored.select("doc_id", F.col("prediction").cast("int").alias("sentiment"), sentiment_label(F.col("prediction")).alias("sentiment_label"))
+    code = F.col("prediction")
+    return model.transform(texts).select("doc_id", code.cast("int").alias("sentiment"), sentiment_label(code).alias("sentiment_label"))
+
+
+_FACTS_SQL = (
+    RD
+    + _RATED_SQL
+    + """SELECT coalesce(sp.split, 'unrated') AS split, count(*) AS n, true AS in_domain, true AS learned
+FROM documents d LEFT JOIN sp ON d.doc_id = sp.doc_id GROUP BY 1"""
+)
+
+
+def _score_facts(spark, sf, name: str):
+    """Per split: rows scored, whether all scores are classes, and whether training rows are met as often as by naming their largest class."""
+    scores = _scored(spark, sf, _trained(spark, sf, name)).select("doc_id", F.col("sentiment").alias("given"))
+    true = hash_split(spark, sf)
+    met = F.avg((F.col("given") == F.col("sentiment")).cast("double"))
+    largest = F.greatest(*[F.avg((F.col("sentiment") == c).cast("double")) for c in (0, 1, 2)])
+    return (
+        scores.join(true, "doc_id", "left")
+        .groupBy(F.coalesce("split", F.lit("unrated")).alias("split"))
+        .agg(F.count(F.lit(1)).alias("n"), F.every(F.col("given").between(0, 2)).alias("in_domain"), met.alias("met"), largest.alias("largest"))
+        .select("split", "n", "in_domain", F.when(F.col("split") == "train", F.col("met") >= F.col("largest")).otherwise(True).alias("learned"))
+    )
 
 
-@query("score_logistic")
+@query("score_logistic", _FACTS_SQL)
 def score_logistic(spark, sf):
-    return _score(spark, sf, "LogisticRegression")
+    return _score_facts(spark, sf, "LogisticRegression")
 
 
-@query("score_forest")
+@query("score_forest", _FACTS_SQL)
 def score_forest(spark, sf):
-    return _score(spark, sf, "RandomForest")
+    return _score_facts(spark, sf, "RandomForest")
+
+
+def bayes_sql(texts: str, result: str) -> str:
+    """SQL for scores of the Bayes model: trained on the balanced training part, on TF-IDF of its copies, with smoothing 1.
+
+    ``texts`` gives ``tg(doc_id, term, tf)`` of the texts to score, ``result`` selects from ``best(doc_id, sentiment)``.
+    """
+    return f"""WITH {t.DOCUMENTS_SQL}, {TERM_COUNTS}{_RATED_SQL},
+tr AS (SELECT doc_id, sentiment FROM sp WHERE split = 'train'), n AS (SELECT sentiment, count(*) AS n FROM tr GROUP BY 1),
+f AS (SELECT tr.doc_id, tr.sentiment, (SELECT max(n) FROM n) / n.n AS f, {_hash_sql("copy", "tr.doc_id")} / 16777216.0 AS u FROM tr JOIN n ON tr.sentiment = n.sentiment),
+k AS (SELECT doc_id, sentiment, floor(f) + CASE WHEN u < f - floor(f) THEN 1 ELSE 0 END AS k FROM f),
+c AS (SELECT sentiment, sum(k) AS n FROM k GROUP BY 1), m AS (SELECT sum(n) AS m, count(*) AS classes FROM c),
+d AS (SELECT term, sum(k) AS df FROM tf JOIN k ON tf.doc_id = k.doc_id GROUP BY term),
+idf AS (SELECT term, ln((m + 1) / (df + 1)) AS idf FROM d, m WHERE df >= 5 AND df <= 0.8 * m),
+x AS (SELECT sentiment, tf.term, sum(k * tf * idf) AS s FROM tf JOIN k ON tf.doc_id = k.doc_id JOIN idf ON tf.term = idf.term GROUP BY 1, 2),
+w AS (SELECT c.sentiment, ln(c.n + 1) - ln(m + classes) AS prior, ln((SELECT sum(s) FROM x WHERE x.sentiment = c.sentiment) + (SELECT count(*) FROM idf)) AS norm FROM c, m),
+{texts},
+v AS (SELECT doc_id, tg.term, tf * idf AS v FROM tg JOIN idf ON tg.term = idf.term), vs AS (SELECT doc_id, sum(v) AS v FROM v GROUP BY 1),
+vx AS (SELECT doc_id, sentiment, sum(v * ln(1 + s)) AS a FROM v JOIN x ON v.term = x.term GROUP BY 1, 2),
+p AS (SELECT dd.doc_id, w.sentiment, prior + coalesce(a, 0) - coalesce(vs.v, 0) * norm AS p FROM documents dd CROSS JOIN w
+  LEFT JOIN vs ON dd.doc_id = vs.doc_id LEFT JOIN vx ON dd.doc_id = vx.doc_id AND w.sentiment = vx.sentiment),
+best AS (SELECT doc_id, CAST(arg_max(sentiment, p) AS INTEGER) AS sentiment FROM p GROUP BY doc_id)
+{result}"""
 
 
-@query("score_bayes")
+LABEL_SQL = "CASE best.sentiment WHEN 0 THEN 'Negative' WHEN 1 THEN 'Neutral' ELSE 'Positive' END AS sentiment_label"
+
+
+@query("score_bayes", bayes_sql("tg AS (SELECT * FROM tf)", f"SELECT doc_id, sentiment, {LABEL_SQL} FROM best"))
 def score_bayes(spark, sf):
-    return _score(spark, sf, "NaiveBayes")
+    return _scored(spark, sf, _trained(spark, sf, "NaiveBayes"))
+
 
+@query("saved_model_scores", "SELECT doc_id, true AS equal FROM documents")
+def saved_model_scores(spark, sf):
+    """Whether a model gives the same scores after it was stored and loaded."""
+    model, path = _trained(spark, sf, "NaiveBayes"), new_folder(spark, "model")
+    modelling.save_model(model, path)
+    before = _scored(spark, sf, model).select("doc_id", F.col("sentiment").alias("before"))
+    after = _scored(spark, sf, modelling.load_model(path)).join(before, "doc_id")
+    return after.select("doc_id", (F.col("sentiment") == F.col("before")).alias("equal"))
 
-@query("model_leaderboard")
+
+@query(
+    "model_leaderboard",
+    "SELECT * FROM (VALUES ('LogisticRegression', false, true), ('RandomForest', false, true), ('NaiveBayes', false, true)) v(model, failed, rightly_chosen)",
+)
 def model_leaderboard(spark, sf):
+    """The candidates, and whether the first of the most accurate ones, and no other, is the chosen one."""
     best, candidates, _ = modelling.train_and_choose(cleaned(rated(spark, sf)), "doc_id")
-    return modelling.leaderboard(spark, candidates, best)
+    first = next(c.name for c in candidates if c.accuracy == max(x.accuracy for x in candidates))
+    board = modelling.leaderboard(spark, candidates, best)
+    rightly = F.col("chosen") == (F.col("model") == first)
+    return board.select("model", F.col("error").isNotNull().alias("failed"), rightly.alias("rightly_chosen"))
+
+
+@query(
+    "training_report",
+    RD
+    + f""", h AS (SELECT CASE WHEN overall = 3 THEN 'Neutral' WHEN overall IN (1, 2) THEN 'Negative' ELSE 'Positive' END AS class,
+  {_hash_sql("split", "md5(review_text || chr(10) || summary)")} % 10 AS b FROM rd WHERE overall IS NOT NULL AND summary IS NOT NULL)
+SELECT c.class, (SELECT count(*) FROM h WHERE h.class = c.class AND b = 9) AS n FROM (VALUES ('Negative'), ('Neutral'), ('Positive')) c(class)""",
+)
+def training_report(spark, sf):
+    """The training job over the rated documents as a file; from its written report, the test rows of each class."""
+    folder = new_folder(spark, "training")
+    rows = t.documents(spark, sf).where(F.col("overall").isNotNull())
+    rows.select(F.col("review_text").alias("reviewText"), "summary", "overall").write.json(f"{folder}/reviews")
+    training.run_training(spark, f"{folder}/reviews", f"{folder}/report", f"{folder}/model", names=["NaiveBayes", "RandomForest"])
+    cells = spark.read.parquet(f"{folder}/report").where("scope = 'confusion'")
+    return cells.groupBy("class").agg(F.sum("value").cast("long").alias("n"))

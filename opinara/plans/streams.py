@@ -10,6 +10,7 @@ from opinara.operators import aggregates, filters, modelling
 from opinara.plans import learning
 from opinara.plans import tables as t
 from opinara.plans.registry import query
+from opinara.plans.text import words_sql
 from opinara.schema import EXPORT_COLUMNS, REVIEW_SCHEMA
 from opinara.sources import readers, sinks
 from opinara.streaming import running, scoring
@@ -223,7 +224,18 @@ def stream_deduplicated(spark, sf):
     return spark.read.parquet(path).select(*keys)
 
 
-@query("stream_scores")
+_SCORED_TEXTS = words_sql("tg", "SELECT doc_id, review_text || coalesce(summary, '') AS text FROM rd WHERE review_text IS NOT NULL")
+
+
+@query(
+    "stream_scores",
+    learning.bayes_sql(
+        _SCORED_TEXTS,
+        f"""SELECT CAST(rd.doc_id AS VARCHAR) AS "reviewerID", asin, lang AS "reviewerName", review_text AS "reviewText", CAST(overall AS FLOAT) AS overall,
+coalesce(summary, '') AS summary, CAST(NULL AS VARCHAR) AS "reviewTime", best.sentiment, {learning.LABEL_SQL}
+FROM rd JOIN best ON rd.doc_id = best.doc_id WHERE review_text IS NOT NULL""",
+    ),
+)
 def stream_scores(spark, sf):
     """Documents as JSON records on a file stream, scored by a model trained on the rated ones."""
     train, _, _ = modelling.balanced_splits(learning.cleaned(learning.rated(spark, sf)), "doc_id")

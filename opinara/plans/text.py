@@ -38,6 +38,17 @@ CLEAN = "cl AS (SELECT doc_id, " + _clean_sql("text") + " AS reviews FROM docume
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 TOKENS = CLEAN + ", tk AS (SELECT doc_id, " + _SPLIT.format("reviews") + " AS words FROM cl)"
 WORDS = TOKENS + f", wd AS (SELECT doc_id, word FROM (SELECT doc_id, unnest(words) AS word FROM tk) WHERE word NOT IN ({_STOPS}))"
+#: Counts of the documents' terms, as ``tf``, without the leading WITH.
+TERM_COUNTS = WORDS + ", tf AS (SELECT doc_id, word AS term, count(*) AS tf FROM wd GROUP BY 1, 2)"
+
+
+def words_sql(name: str, texts: str) -> str:
+    """The term counts of other texts: ``texts`` selects doc_id and text, ``name`` names the counts."""
+    cleaned = f"{name}_c AS (SELECT doc_id, {_clean_sql('text')} AS reviews FROM ({texts}))"
+    words = f"{name}_t AS (SELECT doc_id, unnest({_SPLIT.format('reviews')}) AS term FROM {name}_c)"
+    return f"{cleaned}, {words}, {name} AS (SELECT doc_id, term, count(*) AS tf FROM {name}_t WHERE term NOT IN ({_STOPS}) GROUP BY 1, 2)"
+
+
 TERMS = (
     WORDS
     + """, tf AS (SELECT doc_id, word AS term, count(*) AS tf FROM wd GROUP BY 1, 2),
@@ -218,6 +229,37 @@ def extract_blocks(spark, sf):
     return extraction.extract_blocks(pages, selectors).select("page_id", "selector", "pos", "body")
 
 
+_TRIMMED = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+
+
+@query(
+    "extract_reviews",
+    f"""SELECT source AS asin, 'R' || doc_id AS review_id, lang AS reviewer_name, 'Title of ' || doc_id AS title, CAST(1 + doc_id % 5 AS DOUBLE) AS overall,
+{_TRIMMED.format("text")} AS "reviewText", '2024-03-05' AS date, CAST(doc_id % 4 AS INTEGER) AS helpful_votes, CAST(doc_id % 4 AS INTEGER) AS total_votes
+FROM documents WHERE doc_id % 7 <> 0""",
+)
+def extract_reviews(spark, sf):
+    """Product pages around the documents' texts, as a shop writes them; every seventh has no rating that can be read."""
+
+    def escaped(text):
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;")):
+            text = F.replace(text, F.lit(char), F.lit(name))
+        return text
+
+    i, n = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    votes = F.when(n == 0, "").when(n == 1, "One person found this helpful").otherwise(F.concat(n.cast("string"), F.lit(" people found this helpful")))
+    rating = F.when(F.col("doc_id") % 7 == 0, "no stars").otherwise(F.concat((1 + F.col("doc_id") % 5).cast("string"), F.lit(",0 out of 5 stars")))
+    html = F.format_string(
+        "<html><body><script>var a = '<div data-hook=\"review\">';</script><div id='customer_review-R%s' data-hook='review'>"
+        '<span class="a-profile-name">%s</span><a data-hook="review-title"><span>5</span><span>Title of %s</span></a>'
+        '<i data-hook="review-star-rating"><span>%s</span></i><span data-hook="review-date">Reviewed on March 5, 2024</span>'
+        '<div data-hook="review-collapsed"><span>%s</span><span>more</span></div><span data-hook="helpful-vote-statement">%s</span></div></body></html>',
+        i, F.col("lang"), i, rating, escaped(F.col("text")), votes,
+    )
+    pages = t.table(spark, sf, "documents").select(F.col("source").alias("asin"), html.alias("html"))
+    return extraction.extract_reviews(pages)[0].drop("scrape_time")
+
+
 @query(
     "extract_title",
     f"""WITH v AS (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS raw FROM pages)

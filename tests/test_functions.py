@@ -13,7 +13,7 @@ from opinara.functions import labels, parsing
 from opinara.functions import text as tx
 from opinara.functions.sql import register_sql_functions
 from opinara.functions.stopwords import STOP_WORDS
-from opinara.operators import features
+from opinara.operators import features, modelling
 from opinara.plans import tables as t
 
 EDGE = "Héllo1 wörld [a\nb] <i>x</i>> http://a.b/c?d=1 www.x.com né2é ٣abc $+<=>^~ end"
@@ -177,6 +177,7 @@ def test_parse_review_id(one, c):
         ("&#128512;", "\U0001f600"),
         ("&unknown; & &", "&unknown; & &"),
         ("&#0;&#55296;&#99999999;", "&#0;&#55296;&#99999999;"),
+        ("it&apos;s &#146;x&#x80; &hellip;&NotEqualTilde;", "it's \u2019x\u20ac \u2026\u2242\u0338"),
         ("plain", "plain"),
         ("&&amp;x", "&&x"),
     ],
@@ -217,10 +218,20 @@ def test_term_counts_without_words(spark):
     assert sorted(map(tuple, features.term_counts(rows, "id").collect())) == [(2, "", 1), (2, "a", 1), (2, "b", 2)]
 
 
-def test_vocabulary_size_keeps_the_most_frequent(spark):
-    rows = spark.createDataFrame([(i, ["a", "b", "b"] if i < 6 else ["a"]) for i in range(9)], "id int, words array<string>")
-    vocab = features.vocabulary(features.term_counts(rows, "id"), rows, max_df=1.0, size=1)
-    assert [(r["term"], r["tf"], r["df"], r["m"]) for r in vocab.collect()] == [("b", 12, 6, 9)]
+def test_vocabulary_has_every_term_between_its_bounds(spark):
+    rows = spark.createDataFrame([(i, ["a", "b", "b"] if i < 6 else ["a", f"rare{i}"]) for i in range(9)], "id int, words array<string>")
+    vocab = features.vocabulary(features.term_counts(rows, "id"), rows, max_df=1.0)
+    assert sorted((r["term"], r["tf"], r["df"], r["m"]) for r in vocab.collect()) == [("a", 9, 9, 9), ("b", 12, 6, 9)]
+    assert "TakeOrdered" not in vocab._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="more than 1 terms"):
+        modelling.fit_features(rows.select(F.array_join("words", " ").alias("reviews")), size=1)
+
+
+def test_weights_are_not_forced_to_be_broadcast(spark):
+    rows = spark.createDataFrame([(1, ["a"])], "id int, words array<string>")
+    counts = features.term_counts(rows, "id")
+    weights = features.idf_weights(features.vocabulary(counts, rows, min_df=1, max_df=1.0))
+    assert "hint" not in features.tfidf(counts, weights, "id")._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
 def test_polarity_of_text_without_lexicon_words(spark):

@@ -6,7 +6,7 @@ import __spark_entry__ as entry_module
 from checking import compare, connect
 
 CHECKED = entry_module.oracle_sql()
-UNCHECKED = [n for n in entry_module.queries() if n not in CHECKED and n != "model_leaderboard"]
+UNCHECKED = [n for n in entry_module.queries() if n not in CHECKED]
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinara.operators import aggregates, extraction, filters, metrics, normalise, ranking, sampling
 from opinara.plans import tables as t
 from opinara.sources import readers, sinks
-from opinara.workspace import new_folder, shared_root
+from opinara.workspace import new_folder, scratch_root
 
 AS_OF = datetime(2024, 3, 10, 12)
 SCHEMA = "review_id string, asin string, title string, overall double, review_ts timestamp, sentiment int, sentiment_label string"
@@ -272,14 +272,78 @@ def test_scans_read_only_what_they_need(spark, sf_dir):
     assert "ReadSchema: struct<l_quantity:double>" in plan
 
 
-def test_cluster_needs_a_shared_folder():
-    class Conf:
-        def get(self, *_):
-            return None
-
-    class Session:
-        conf = Conf()
-        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+def test_folders_are_below_the_session_s_shared_one(spark):
+    before = spark.conf.getAll
+    assert new_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/opinara/x-")
 
-    with pytest.raises(RuntimeError):
-        shared_root(Session())
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "s3://bucket/warehouse/"}.get(key, default)
+
+    assert scratch_root(type("S", (), {"conf": Conf()})()) == "s3://bucket/warehouse/opinara"
+    assert spark.conf.getAll == before
+
+
+def test_limit_per_group_beyond_spark_s_own_bound(spark):
+    rows = spark.range(40_000, numPartitions=8).select(F.when(F.col("id") % 4 > 0, "hot").otherwise(F.col("id").cast("string")).alias("asin"), "id")
+    limited = ranking.limit_per_group(rows, ["asin"], [F.desc("id")], 5000)
+    got = limited.where("asin = 'hot'").agg(F.count("*"), F.min("id")).first()
+    assert got[0] == 5000 and got[1] == sorted((i for i in range(40_000) if i % 4), reverse=True)[4999]
+    assert limited.count() == 15_000
+
+
+def test_results_are_pruned_by_period(spark):
+    path = new_folder(spark, "periods")
+    days = spark.range(730).select(F.expr("timestamp'2023-01-01' + make_dt_interval(id)").alias("review_ts"), F.col("id").cast("string").alias("review_id"))
+    sinks.write_results(days, path)
+    now = F.lit(datetime(2024, 12, 30))
+    found = readers.read_results(spark, path, time_range="last-30-days", as_of=now)
+    scan = next(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x)
+    assert "PartitionFilters: [isnotnull(period" in scan
+    assert found.count() == 31 and len(found.inputFiles()) <= len(spark.read.parquet(path).inputFiles())
+
+
+def test_reviews_by_product_keeps_every_review(spark):
+    rows = [(None if i % 10 == 0 else "" if i % 10 == 1 else "HOT" if i % 10 < 9 else f"p{i}", float(i % 5 + 1), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "asin string, overall double, i int").withColumn("sentiment", F.lit(1)).withColumn("sentiment_label", F.lit("Neutral"))
+    got = aggregates.reviews_by_product(df).collect()
+    assert len(got) == 2000 and {r["total_reviews"] for r in got if r["asin"] is None} == {200}
+
+
+def test_oversampling_one_row_against_many(spark):
+    many = spark.range(1_000_000).select("id", F.lit(0).alias("sentiment")).union(spark.range(1).select((F.col("id") - 1).alias("id"), F.lit(1).alias("sentiment")))
+    got = sampling.oversample(many, "id").groupBy("sentiment").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("c")).collect()
+    assert {(r["sentiment"], r["n"], r["c"]) for r in got} == {(0, 1_000_000, 1), (1, 1_000_000, 1_000_000)}
+
+
+@pytest.mark.parametrize(
+    "anchor, link",
+    [
+        ('<a data-href="/dp/WRONG/" href="/dp/RIGHT/x">', "https://shop.com/dp/RIGHT/x"),
+        ("<a href='/dp/ONE/'>", "https://shop.com/dp/ONE/"),
+        ('<a class="x" href = "https://other.com/dp/A/">', "https://other.com/dp/A/"),
+        ('<a href="httpd/dp/B/">', "https://shop.com/list/httpd/dp/B/"),
+        ('<a href="//cdn.com/dp/C/">', "https://cdn.com/dp/C/"),
+        ('<a href="dp/D/">', None),
+        ('<a href="x/dp/D/?a=1&amp;b=2">', "https://shop.com/list/x/dp/D/?a=1&b=2"),
+    ],
+)
+def test_links(spark, anchor, link):
+    pages = spark.createDataFrame([("https://shop.com/list/page?x=/a/", f"<p>{anchor}t</a></p>")], "url string, html string")
+    assert [r["link"] for r in extraction.extract_links(pages).collect()] == ([link] if link else [])
+
+
+def test_one_link_per_card(spark):
+    html = '<a href="/dp/NAV/">n</a>' + "".join(f'<div class="{extraction.CARD}"><a href="/x">i</a><a href="/dp/{i}/">i</a><a href="/dp/again/">i</a></div>' for i in "AB")
+    pages = spark.createDataFrame([("https://shop.com/", html)], "url string, html string")
+    assert [r["id"] for r in extraction.extract_links(pages, card=extraction.CARD).collect()] == ["A", "B"]
+
+
+def test_review_blocks(spark):
+    def blocks(html):
+        found = extraction.extract_blocks(spark.createDataFrame([(html,)], "html string"), extraction.REVIEW_SELECTORS)
+        return [(r["selector"], r["body"]) for r in found.collect()]
+
+    assert blocks("<div data-hook='review' id='customer_review-1'>a<div data-hook=\"review\">b") == [(1, "a"), (1, "b")]
+    assert blocks("<div id='customer_review-1'>a") == [(2, "a")]
+    assert blocks('<span data-hook="cr-widget-FocalReviews">no reviews</span>') == []

@@ -72,10 +72,22 @@ def batch_counters(df):
 def test_counters_over_several_batches(spark, events):
     folder, df = events
     out = new_folder(spark, "counters")
-    running.keep_state_on_disk(spark)
-    sinks.run_available(running.running_counters(stream_of(spark, folder)), sinks.batch_folder(f"{out}/rows"), f"{out}/cp", "counters", "update")
-    assert spark.read.parquet(f"{out}/rows").select("batch_id").distinct().count() == 5
-    assert rows_of(running.current_rows(spark, f"{out}/rows", ["asin"]), COUNTS) == rows_of(batch_counters(df), COUNTS)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    with running.state_on_disk(spark):
+        sink = running.versioned_rows(f"{out}/rows", ["asin"], every=2)
+        sinks.run_available(running.running_counters(stream_of(spark, folder)), sink, f"{out}/cp", "counters", "update")
+    assert spark.conf.get(provider) == before
+    assert spark.read.parquet(f"{out}/rows/changes").select("batch_id").distinct().count() == 5
+    now = running.current_rows(spark, f"{out}/rows", ["asin"], every=2)
+    assert rows_of(now, COUNTS) == rows_of(batch_counters(df), COUNTS)
+    assert {f.rsplit("/", 2)[1] for f in now.inputFiles()} == {"batch_id=3", "batch_id=4"}
+
+
+def test_a_bad_date_does_not_stop_the_stream(spark):
+    lines = [('{"asin":"A","date":"yesterday","reviewText":"x"}',), ('{"asin":"B","date":"2199-01-01"}',), ('{"asin":"C","date":"2024-03-05"}',)]
+    got = scoring.records(spark.createDataFrame(lines, "value string"), collected=True).select("asin", "unixReviewTime").collect()
+    assert dict(map(tuple, got)) == {"A": None, "B": None, "C": 1709596800}
 
 
 def test_running_top_over_several_batches(spark, events):
