@@ -224,7 +224,8 @@ def test_vocabulary_has_every_term_between_its_bounds(spark):
     assert sorted((r["term"], r["tf"], r["df"], r["m"]) for r in vocab.collect()) == [("a", 9, 9, 9), ("b", 12, 6, 9)]
     assert "TakeOrdered" not in vocab._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError, match="more than 1 terms"):
-        modelling.fit_features(rows.select(F.array_join("words", " ").alias("reviews")), size=1)
+        texts = rows.select(F.concat(F.array_join("words", " "), F.when(F.col("id") < 6, " zed").otherwise("")).alias("reviews"))
+        modelling.fit_features(texts, size=1)
 
 
 def test_weights_are_not_forced_to_be_broadcast(spark):
