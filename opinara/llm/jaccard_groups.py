@@ -92,12 +92,14 @@ def _can_link(x: str, y: str, link: int) -> Column:
     """Size and position filter for groups ``x`` and ``y`` that have a shingle at their places ``at``.
 
     Of the overlap, the part up to the place is at most the shared shingles up to it, the part
-    after it at most the shorter rest.
+    after it at most the shorter rest. The smaller group has the first common shingle within a
+    shorter prefix, since what it links with is no smaller than itself.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     up_to = F.least(F.col(f"{x}.at") - F.col(f"{x}.alone"), F.col(f"{y}.at") - F.col(f"{y}.alone"))
     after = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
-    return _sizes_fit(n, m, link) & (up_to + after >= _needed(n, m, link))
+    smaller, at = F.least(n, m), F.when(n <= m, F.col(f"{x}.at")).otherwise(F.col(f"{y}.at"))
+    return _sizes_fit(n, m, link) & (up_to + after >= _needed(n, m, link)) & (at <= smaller - _needed(smaller, smaller, link) + 1)
 
 
 def _links(sets: DataFrame, link: int) -> DataFrame:
