@@ -19,60 +19,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.llm.shared import WordMemory
 from opinara.workspace import stored
 
-#: Words whose identifiers a worker remembers at most, before it forgets all; longer words are not remembered.
-REMEMBERED, LONGEST = 400_000, 40
-#: Characters that are looked up together.
-TOGETHER = 1_000_000
+#: Words whose identifiers a worker remembers.
+REMEMBERED = 800_000
 _FIRST = (1 << 33) - 1
 
 
-class _Words(dict):
-    """Identifiers of blank-free words, as unsigned little-endian 32-bit numbers."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+@lru_cache(maxsize=2)
+def _memory(path: str) -> WordMemory:
+    from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Identifiers for all of ``words``; the dict itself while there is room."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list(words - self.keys())
-        made = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        long = {w: made.pop(w) for w in new if len(w) > LONGEST}
-        self.update(made)
-        return long
+    def made(word: str) -> bytes:
+        """Identifiers as unsigned little-endian 32-bit numbers.
 
+        The vocabulary cuts marks off letters and has no capitals, so a plain word with a comma or full stop is made of the two.
+        """
+        if word[-1] in ".,":
+            stem = word[:-1]
+            if stem.isalpha() and stem.isascii():
+                return memory[stem] + memory[word[-1]]
+        elif not word.islower() and word.isalpha() and word.isascii():
+            return memory[word.lower()]
+        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-@lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
+    memory = WordMemory(made, REMEMBERED)
+    return memory
 
 
-def encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """Identifiers of each text.
-
-    The vocabulary drops white space and joins nothing over it, so a text's identifiers are those of its words in a row.
-    """
-    known = _words(path)
-    start = 0
-    while start < len(texts):
-        end, size = start, 0
-        while end < len(texts) and size < TOGETHER:
-            size += len(texts[end])
-            end += 1
-        cut = [t.replace("\n", " ").split(" ") for t in texts[start:end]]
-        long = known.learn(set().union(*cut))
-        for words in cut:
-            if long and not long.keys().isdisjoint(words):
-                yield b"".join([known[w] if w in known else long[w] for w in words])
-            else:
-                yield b"".join(map(known.__getitem__, words))
-        start = end
+def encoded(text: str, path: str) -> bytes:
+    """Identifiers of a text: those of its words in a row, since the vocabulary drops white space and joins nothing over it."""
+    return _memory(path).of(text)
 
 
 def pieces_of(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,7 +72,7 @@ def pieces_of(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, k
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = [
                 (i, at // capacity, at, min(capacity, len(ids) // 4 - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]))
-                for i, ids in enumerate(x + end for x in encoded(texts, path))
+                for i, ids in enumerate(encoded(t, path) + end for t in texts)
                 for at in range(0, len(ids) // 4, capacity)
             ]
             if not rows:

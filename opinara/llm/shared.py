@@ -36,3 +36,24 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def count_once(df: DataFrame, most: int) -> int:
     """Rows of ``df``, counted up to ``most`` + 1."""
     return df.limit(most + 1).count()
+
+
+class WordMemory(dict):
+    """What ``make`` gives for a word, as bytes, remembered for the first ``most`` words of up to ``longest`` characters.
+
+    Texts repeat words, and looking one up is much cheaper than making its bytes. What isn't remembered is made anew.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 40):
+        super().__init__({"": b""})
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.make(word)
+        if len(self) < self.most and len(word) <= self.longest:
+            self[word] = made
+        return made
+
+    def of(self, text: str) -> bytes:
+        """The bytes of a text's words, which end at spaces and line breaks, in a row."""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
