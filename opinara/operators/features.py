@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import clean_text, drop_stop_words, review_len, tokens, word_count
+from opinara.workspace import stored
 
 # Term statistics of the sentiment model.
 MIN_DF = 5
 MAX_DF = 0.8
+#: Words of a lexicon that are looked up within the row; a longer lexicon is joined.
+IN_ROW = 2_000
 
 
 def filtered_tokens(df: DataFrame, text: str, name: str = "words") -> DataFrame:
@@ -95,11 +98,42 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, key: str, words: str = "
     )
 
 
+def row_polarity(words: Column, lexicon: list[tuple[str, float]]) -> Column:
+    """``lexicon_polarity`` of a token list against a lexicon of plain values, without leaving the row.
+
+    Words of equal polarity are one set, which is looked up by hash.
+    """
+    sets: dict[float, list[str]] = {}
+    for word, polarity in lexicon:
+        sets.setdefault(polarity, []).append(word)
+
+    def score(word: Column) -> Column:
+        found = F.lit(None).cast("double")
+        for polarity, members in sets.items():
+            found = F.when(word.isin(members), F.lit(float(polarity))).otherwise(found)
+        return found
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    scores = F.filter(F.transform(words, score), lambda x: x.isNotNull())
+    add = lambda done, x: F.struct((done["sum"] + x).alias("sum"), (done["n"] + 1).alias("n"))
+    return F.aggregate(scores, start, add, lambda done: F.when(done["n"] > 0, done["sum"] / done["n"]).otherwise(0.0))
+
+
 def feature_table(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Cleaned text with polarity, length and word count, next to the class."""
+    """Cleaned text with polarity, length and word count, next to the class.
+
+    With a lexicon of at most ``IN_ROW`` words the polarity is found within the row, and the texts are neither shuffled nor
+    read again. A longer one is joined by word, and the cleaned texts, written once, by key.
+    """
     cleaned = df.select(key, clean_text(F.col(text)).alias("reviews"), "sentiment")
-    scores = lexicon_polarity(cleaned.select(key, tokens(F.col("reviews")).alias("words")), lexicon, key)
-    return cleaned.join(scores, key).select(
+    words = tokens(F.col("reviews"))
+    known = lexicon.select("word", "polarity").limit(IN_ROW + 1).collect()
+    if len(known) <= IN_ROW:
+        scored = cleaned.withColumn("polarity", row_polarity(words, [tuple(r) for r in known if r["polarity"] is not None]))
+    else:
+        cleaned = stored(cleaned, "cleaned-texts")
+        scored = cleaned.join(lexicon_polarity(cleaned.select(key, words.alias("words")), lexicon, key), key)
+    return scored.select(
         key,
         "reviews",
         "polarity",

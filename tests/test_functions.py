@@ -15,6 +15,7 @@ from opinara.functions.sql import register_sql_functions
 from opinara.functions.stopwords import STOP_WORDS
 from opinara.operators import features, modelling
 from opinara.plans import tables as t
+from opinara.plans import text as text_queries
 
 EDGE = "Héllo1 wörld [a\nb] <i>x</i>> http://a.b/c?d=1 www.x.com né2é ٣abc $+<=>^~ end"
 
@@ -235,6 +236,17 @@ def test_weights_are_not_forced_to_be_broadcast(spark):
     assert "hint" not in features.tfidf(counts, weights, "id")._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_feature_table_scans_once_and_moves_no_text(spark, sf_dir, monkeypatch):
+    docs = t.documents(spark, sf_dir).select("doc_id", "review_text", F.lit(1).alias("sentiment"))
+    lexicon = text_queries.lexicon(spark)
+    got = features.feature_table(docs, "doc_id", "review_text", lexicon)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and "SortMergeJoin" not in plan
+    monkeypatch.setattr(features, "IN_ROW", 3)
+    joined = features.feature_table(docs, "doc_id", "review_text", lexicon)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect()))
+
+
 def test_polarity_of_text_without_lexicon_words(spark):
     rows = spark.createDataFrame([(1, ["good", "bad", "good"]), (2, ["x"]), (3, [])], "id int, words array<string>")
     lexicon = spark.createDataFrame([("good", 0.5), ("bad", -1.0)], "word string, polarity double")
