@@ -34,11 +34,11 @@ RAW = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark boilerplate, and those that mark the article.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary "
-    "contentinfo cookie cookies consent copyright dialog disqus dropdown footer form gdpr hidden login masthead menu menubar modal nav "
+    "ad ads adv alert advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary "
+    "contentinfo cookie cookies consent copyright dialog disclaimer discussion disqus dropdown footer form gdpr hidden login masthead menu menubar modal nav "
     "navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion "
     "recommended recommendation recommendations related replies reply respond search share sharing sidebar signup sitemap skip social sponsor "
-    "sponsored subscribe subscription taboola tagcloud toolbar widget widgets".split()
+    "sponsored subscribe subscription taboola tagcloud teaser teasers toast toolbar widget widgets".split()
 )
 ARTICLE = frozenset("article articlebody main maincontent postbody storybody entrycontent postcontent articlecontent".split())
 _PIECE = re.compile(
@@ -63,7 +63,7 @@ def kind_of(tag: str, attributes: str, in_article: bool) -> str:
             return "drop"
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             parts = re.split(r"[\s_-]+", value)
-            if not MARKS.isdisjoint(parts):
+            if not MARKS.isdisjoint(parts) or ("header" in parts and not in_article):
                 return "drop"
             if not ARTICLE.isdisjoint(v.replace("-", "").replace("_", "") for v in value.split()):
                 found = "article"

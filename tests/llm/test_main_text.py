@@ -33,6 +33,7 @@ LINE = ("plain prose that goes on for a while " * 8).strip()
         ("<article><p>a</p><div class='ad-box'><div><p>buy</p></div></div><form><p>f</p></form><p>b</p></article>", "a\nb"),
         ("<article><p>a</p><section id=comments><article><p>me too</p></article></section></article><p>out</p>", "a"),
         ("<article><p>a</p><div class='cookie notice'>ok</div><p style='display:none'>h</p><p>b</article>", "a\nb"),
+        ("<div class='site-header'>S</div><article><div class='article-header'><h1>T</h1></div><p>a</p><div class='teaser'>x</div></article>", "T\na"),
         ("<div class='post-body'><p>a</p><p>b</p></div><div>related things</div>", "a\nb"),
         ("<div><a href=x>Home</a></div><nav><p>n</p></nav>" + PROSE + "<p>tiny</p><footer>f</footer><div>after</div>", f"{LINE}\ntiny"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a\nb\n1\n2"),
