@@ -76,7 +76,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     text are the same document: they are no repeats of each other and get the same result. A column
     named ``n_removed`` is replaced. Texts move once, to meet their places; counting moves hashes only.
     """
-    later = stored(later_windows(df, key, text), "later-windows")
+    # Merged at any size: these rows grow with the documents.
+    later = stored(later_windows(df, key, text), "later-windows").hint("merge")
     columns = without(df, "n_removed").columns
     body, gone = F.col(f"`{text}`"), F.col("gone")
     met = without(df, "n_removed", "__key", "__text", "gone").withColumn("__hash", F.xxhash64(f"`{text}`")).join(
