@@ -9,6 +9,7 @@ and in a question asked again with other numbers and names, but not in texts tha
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.shared import count_once
+from opinara.llm.shared import WordMemory, count_once
 from opinara.workspace import stored
 
 #: Words in a window, and the share of an item's words that must be found.
@@ -25,16 +26,18 @@ WINDOW, COVERED = 8, 0.5
 #: Words outside slots an alignment needs, unless its slots hold the item's own values.
 LITERALS = 5
 #: More windows or keys than this are not broadcast but joined as Spark plans it.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 500_000
 NUMBER, NAME, UNIT = "0", "N", "U"
-UNITS = (
+UNITS = frozenset(
     "mm cm dm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec min h hr hrs d w kw mw hz khz mhz ghz v a c f k pa bar j kj cal kcal "
     "kb mb gb tb kmh mph usd eur gbp dollars euros pounds cents percent degrees meters metres grams liters litres seconds minutes hours "
-    "days weeks months years miles inches feet"
-).split()
+    "days weeks months years miles inches feet".split()
+)
 _WORD = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
-#: Words whose hash a worker remembers.
+#: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
+#: Characters whose windows are made together.
+TOGETHER = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,46 +64,71 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-class _Hashes(dict):
-    """Hash of each word's placeholder."""
-
-    def __missing__(self, word: str) -> int:
-        found = _hash(placeholder(word))
-        if len(self) < REMEMBERED:
-            self[word] = found
-        return found
+def _hashes(words: list[str]) -> bytes:
+    return np.array(list(map(_hash, words)), dtype=np.int64).tobytes()
 
 
 @lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
+def _memory() -> WordMemory:
+    """Hashes of the placeholders of what stands between two spaces; units are left to those who see the word before."""
+    return WordMemory(lambda part: _hashes(list(map(placeholder, words_of(part)))), REMEMBERED)
 
 
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(WINDOW)], dtype=np.uint64)
 _NUMBER, _UNIT = _hash(NUMBER), _hash(UNIT)
-
-
-def window_hashes(text: str | None, widths: list[int]) -> np.ndarray:
-    """For each width, a hash for every word: that of the window it begins, or 0 where too few words follow."""
-    words = words_of(text)
-    n = len(words)
-    kinds = np.fromiter(map(_hashes().__getitem__, words), dtype=np.int64, count=n)
-    for i in np.flatnonzero(kinds[:-1] == _NUMBER) + 1 if n else ():
-        if words[i].lower() in UNITS:
-            kinds[i] = _UNIT
-    kinds = kinds.view(np.uint64)
-    found = np.zeros((len(widths), n), dtype=np.uint64)
-    for row, width in zip(found, widths):
-        if n >= width:
-            row[: n - width + 1] = sum(kinds[k : n - width + 1 + k] * _FACTORS[k] for k in range(width)) + np.uint64(width)
-    return found.reshape(-1).view(np.int64)
+#: What a unit's hash can be before the word in front of it is known.
+_MAY_BE_UNIT = np.array([_hash(placeholder(u)) for u in sorted(UNITS)] + [_hash(NAME)], dtype=np.int64)
+
+
+def template_hashes(text: str | None) -> np.ndarray:
+    """A hash for each word of the template."""
+    found = np.frombuffer(_memory().of(text or ""), dtype=np.int64)
+    after = np.flatnonzero(found[:-1] == _NUMBER) + 1
+    after = after[np.isin(found[after], _MAY_BE_UNIT)]
+    if len(after):
+        words, found = words_of(text), found.copy()
+        for i in after:
+            if words[i].lower() in UNITS:
+                found[i] = _UNIT
+    return found.view(np.uint64)
+
+
+def window_hashes(texts: list[str | None], widths: list[int]) -> list[np.ndarray]:
+    """Per text, and in it for each width, a hash for every word: that of the window it begins, or 0 where too few words follow."""
+    each = list(map(template_hashes, texts))
+    ends = np.cumsum([len(x) for x in each])
+    words = np.concatenate([*each, np.zeros(WINDOW, np.uint64)])
+    left = np.repeat(ends, [len(x) for x in each]) - np.arange(len(words) - WINDOW)
+    rows = []
+    for width in widths:
+        row = np.full(len(left), width, dtype=np.uint64)
+        for k in range(width):
+            row += words[k : k + len(left)] * _FACTORS[k]
+        rows.append(np.split(np.where(left >= width, row, 0).astype(np.uint64).view(np.int64), ends[:-1]))
+    return [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*rows)]
+
+
+def _groups(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in groups of bounded length, so that the arrays made from one stay small."""
+    some, length = [], 0
+    for text in texts:
+        some.append(text.as_py())
+        length += len(some[-1] or "")
+        if length > TOGETHER:
+            yield some
+            some, length = [], 0
+    if some:
+        yield some
 
 
 def _windows(text: Column, widths: list[int]) -> Column:
     def hashed(texts: pa.Array) -> pa.Array:
-        found = [window_hashes(t, widths) for t in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+        sizes, parts = [0], [np.zeros(0, np.int64)]
+        for some in _groups(texts):
+            found = window_hashes(some, widths)
+            sizes += map(len, found)
+            parts.append(np.concatenate(found))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(parts)))
 
     return F.arrow_udf(hashed, "array<bigint>")(text)
 
@@ -131,9 +159,10 @@ def _places(df: DataFrame, text: str, widths: list[int], *columns: str) -> DataF
 
 def item_words(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """Items with their text, words, template and the width of their windows: ``WINDOW``, or less for a shorter item."""
-    items = benchmark.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{text}`").alias("item_text")).distinct()
-    cut = items.select("item_id", "item_text", _words(F.col("item_text")).alias("w"))
-    words = cut.select("item_id", "item_text", F.col("w.words").alias("item_words"), F.col("w.template").alias("item_template"))
+    body = F.col(f"`{text}`").alias("item_text")
+    items = benchmark.select(F.struct(F.col(f"`{item}`").alias("item_id"), F.xxhash64(body).alias("hash")).alias("item"), body).distinct()
+    cut = items.select("item", "item_text", _words(F.col("item_text")).alias("w"))
+    words = cut.select("item", "item_text", F.col("w.words").alias("item_words"), F.col("w.template").alias("item_template"))
     return words.where(F.size("item_words") > 0).withColumn("width", F.least(F.size("item_words"), F.lit(WINDOW)))
 
 
@@ -147,24 +176,24 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
     ``coverage`` is the share of the item's words that lie in matching windows with agreeing slots, at
     least ``COVERED``; ``exact`` says that all slots hold the item's values. Null and empty texts and items
-    match nothing; items that repeat in full count once, rows that repeat key and text give one row. Columns of ``df`` other than key and
+    match nothing, an item with a null id does; items that repeat in full count once, rows that repeat key and text give one row. Columns of ``df`` other than key and
     text are not looked at. Windows of documents are never shuffled while those of the benchmark are
     few; a larger benchmark is joined by hash. Only documents with a matching window are read again.
     """
     items = stored(item_words(benchmark, item), "benchmark-words")
     widths = sorted(r.width for r in items.select("width").distinct().collect())
-    sought = _places(items, "item_text", widths or [WINDOW], "item_id", "width").where("window = width").select("item_id", "width", "hash", F.col("at").alias("item_at"))
+    sought = _places(items, "item_text", widths or [WINDOW], "item", "width").where("window = width").select("item", "width", "hash", F.col("at").alias("item_at"))
     sought = _small(stored(sought, "benchmark-windows"))
     docs = df.select(F.col(f"`{key}`").alias("doc_key"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").alias("body"))
     found = _places(docs, "body", widths or [WINDOW], "doc_key", "text_hash").drop("window").join(sought, "hash")
     shift = F.col("at") - F.col("item_at")
-    lined = found.groupBy("doc_key", "text_hash", "item_id", "width", shift.alias("shift")).agg(F.collect_set("item_at").alias("places"))
+    lined = found.groupBy("doc_key", "text_hash", "item", "width", shift.alias("shift")).agg(F.collect_set("item_at").alias("places"))
     lined = stored(lined, "template-matches")
     keys = lined.select(F.col("doc_key").alias("k"), F.col("text_hash").alias("h")).distinct()
     same = F.col("doc_key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h"))
     again = docs.join(_small(stored(keys, "template-documents")), same)
     words = again.select("k", "h", _words(F.col("body")).alias("w")).dropDuplicates(["k", "h"]).select("k", "h", F.col("w.words").alias("doc_words"))
-    return _agreeing(lined.join(_small(items.drop("width", "item_text")), "item_id").join(words, same))
+    return _agreeing(lined.join(items.drop("width", "item_text"), "item").join(words, same))
 
 
 def _agreeing(met: DataFrame) -> DataFrame:
@@ -184,13 +213,13 @@ def _agreeing(met: DataFrame) -> DataFrame:
     exact = F.forall("slots", lambda x: x["ours"] == x["theirs"])
     literals = F.size(F.filter("pairs", lambda x: ~_is_slot(x["kind"])))
     good = met.where(agree & (exact | (literals >= LITERALS))).withColumn("exact", exact)
-    summed = good.groupBy("doc_key", "text_hash", "item_id").agg(
+    summed = good.groupBy("doc_key", "text_hash", "item").agg(
         F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
         F.max(F.size("item_words")).alias("length"),
         F.min("exact").alias("exact"),
     )
     share = F.size("covered") / F.col("length")
-    return summed.select("doc_key", "text_hash", "item_id", F.size("covered").cast("long").alias("n_words"), share.alias("coverage"), "exact").where(share >= COVERED)
+    return summed.select("doc_key", "text_hash", "item.item_id", F.size("covered").cast("long").alias("n_words"), share.alias("coverage"), "exact").where(share >= COVERED)
 
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
