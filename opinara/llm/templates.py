@@ -84,8 +84,7 @@ def template_hashes(text: str | None) -> np.ndarray:
     """A hash for each word of the template."""
     found = np.frombuffer(_memory().of(text or ""), dtype=np.int64)
     after = np.flatnonzero(found[:-1] == _NUMBER) + 1
-    after = after[np.isin(found[after], _MAY_BE_UNIT)]
-    if len(after):
+    if len(after) and len(after := after[np.isin(found[after], _MAY_BE_UNIT)]):
         words, found = words_of(text), found.copy()
         for i in after:
             if words[i].lower() in UNITS:
