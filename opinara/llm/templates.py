@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates.
 
-A text's words become a template: numbers, names and units are replaced by typed placeholders. Windows
-of the template are joined by hash with the windows of the benchmark's items. Where windows of a
-document line up with an item, the values in the slots must agree one to one, as they do in a copy
+A text's words become a template: numbers, names and units are replaced by typed placeholders. A second
+template keeps capitalised words, folded like all others, so that copies in capitals or without any are found. Windows
+of both are joined by hash with the windows of the benchmark's items. Where windows of a
+document line up with an item, the values in the slots must agree one to one, whatever their case, as they do in a copy
 and in a question asked again with other numbers and names, but not in texts that are alike by chance.
 """
 
@@ -46,12 +47,17 @@ def words_of(text: str | None) -> list[str]:
 
 
 def placeholder(word: str) -> str:
-    """The template of a word that stands alone: ``NUMBER``, ``NAME`` or the word in lower case."""
-    return NUMBER if word[0].isdigit() else NAME if word[0].isupper() else word.lower()
+    """The template of a word that stands alone: ``NUMBER``, ``NAME`` or the folded word."""
+    return NAME if word[0].isupper() else folded(word)
+
+
+def folded(word: str) -> str:
+    """The second template of a word that stands alone: ``NUMBER`` or the word without its case."""
+    return NUMBER if word[0].isdigit() else word.casefold()
 
 
 def template_of(words: list[str]) -> list[str]:
-    """Placeholders for numbers, capitalised words and units after numbers; other words in lower case."""
+    """Placeholders for numbers, capitalised words and units after numbers; other words folded."""
     kinds = list(map(placeholder, words))
     if NUMBER in kinds:
         for i in range(1, len(words)):
@@ -70,21 +76,21 @@ def _hashes(words: list[str]) -> bytes:
 
 @lru_cache(maxsize=1)
 def _memory() -> WordMemory:
-    """Hashes of the placeholders of what stands between two spaces; units are left to those who see the word before."""
-    return WordMemory(lambda part: _hashes(list(map(placeholder, words_of(part)))), REMEMBERED)
+    """Per word of what stands between two spaces its hashes in both templates; units are left to those who see the word before."""
+    return WordMemory(lambda part: _hashes([kind(w) for w in words_of(part) for kind in (placeholder, folded)]), REMEMBERED)
 
 
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(WINDOW)], dtype=np.uint64)
 _NUMBER, _UNIT = _hash(NUMBER), _hash(UNIT)
 #: What a unit's hash can be before the word in front of it is known.
-_MAY_BE_UNIT = np.array([_hash(placeholder(u)) for u in sorted(UNITS)] + [_hash(NAME)], dtype=np.int64)
+_MAY_BE_UNIT = np.array([_hash(folded(u)) for u in sorted(UNITS)], dtype=np.int64)
 
 
 def template_hashes(text: str | None) -> np.ndarray:
-    """A hash for each word of the template."""
-    found = np.frombuffer(_memory().of(text or ""), dtype=np.int64)
-    after = np.flatnonzero(found[:-1] == _NUMBER) + 1
-    if len(after) and len(after := after[np.isin(found[after], _MAY_BE_UNIT)]):
+    """A row for each word: its hash in the template, and in the second one."""
+    found = np.frombuffer(_memory().of(text or ""), dtype=np.int64).reshape(-1, 2)
+    after = np.flatnonzero(found[:-1, 0] == _NUMBER) + 1
+    if len(after) and len(after := after[np.isin(found[after, 1], _MAY_BE_UNIT)]):
         words, found = words_of(text), found.copy()
         for i in after:
             if words[i].lower() in UNITS:
@@ -92,19 +98,45 @@ def template_hashes(text: str | None) -> np.ndarray:
     return found.view(np.uint64)
 
 
-def window_hashes(texts: list[str | None], widths: list[int]) -> list[np.ndarray]:
-    """Per text, and in it for each width, a hash for every word: that of the window it begins, or 0 where too few words follow."""
+class Sought:
+    """Which hashes may be among ``hashes``: all of those and few others."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.bits = max(16, int(len(hashes)).bit_length() + 5)
+        self.table = np.zeros(1 << self.bits, dtype=bool)
+        self.table[self._slot(hashes.astype(np.int64).view(np.uint64))] = True
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits)
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        return self.table[self._slot(hashes)]
+
+
+def window_hashes(texts: list[str | None], widths: list[int], sought: Sought | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each width and template: the texts, the places (from 0) and the hashes of windows, and the width.
+
+    A window without capitals is the same in both templates and is given once. With ``sought`` only windows that may be in it are given.
+    """
     each = list(map(template_hashes, texts))
-    ends = np.cumsum([len(x) for x in each])
-    words = np.concatenate([*each, np.zeros(WINDOW, np.uint64)])
-    left = np.repeat(ends, [len(x) for x in each]) - np.arange(len(words) - WINDOW)
-    rows = []
+    sizes = [len(x) for x in each]
+    words = np.concatenate([*each, np.zeros((WINDOW, 2), np.uint64)])
+    ends, n = np.cumsum(sizes), len(words) - WINDOW
+    left = np.repeat(ends, sizes) - np.arange(n)
+    starts, typed, kept = ends - sizes, np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
+    found = []
     for width in widths:
-        row = np.full(len(left), width, dtype=np.uint64)
-        for k in range(width):
-            row += words[k : k + len(left)] * _FACTORS[k]
-        rows.append(np.split(np.where(left >= width, row, 0).astype(np.uint64).view(np.int64), ends[:-1]))
-    return [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*rows)]
+        rows = []
+        for kind in (typed, kept):
+            row = np.full(n, width, dtype=np.uint64)
+            for k in range(width):
+                row += kind[k : k + n] * _FACTORS[k]
+            rows.append(row)
+        for row, given in zip(rows, (left >= width, (left >= width) & (rows[0] != rows[1]))):
+            at = np.flatnonzero(given if sought is None else given & sought.among(row))
+            text = np.searchsorted(ends, at, side="right")
+            found.append((text, at - starts[text], row[at].view(np.int64), width))
+    return found
 
 
 def _groups(texts: pa.Array) -> Iterator[list[str | None]]:
@@ -120,48 +152,51 @@ def _groups(texts: pa.Array) -> Iterator[list[str | None]]:
         yield some
 
 
-def _windows(text: Column, widths: list[int]) -> Column:
+def _windows(text: Column, widths: list[int], sought: Sought | None = None) -> Column:
+    """Hash, place (from 0) and width of each window of both templates."""
+
     def hashed(texts: pa.Array) -> pa.Array:
-        sizes, parts = [0], [np.zeros(0, np.int64)]
+        sizes, parts = [np.zeros(1, np.int64)], []
         for some in _groups(texts):
-            found = window_hashes(some, widths)
-            sizes += map(len, found)
-            parts.append(np.concatenate(found))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(parts)))
+            rows = window_hashes(some, widths, sought)
+            order = np.argsort(text := np.concatenate([r[0] for r in rows]), kind="stable")
+            sizes.append(np.bincount(text, minlength=len(some)))
+            window = np.concatenate([np.full(len(r[0]), r[3]) for r in rows])
+            parts.append((np.concatenate([r[2] for r in rows])[order], np.concatenate([r[1] for r in rows])[order], window[order]))
+        columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int64)] * 3
+        values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["hash", "at", "window"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), values)
 
-    return F.arrow_udf(hashed, "array<bigint>")(text)
+    return F.arrow_udf(hashed, "array<struct<hash: bigint, at: int, window: int>>")(text)
 
 
 def _words(text: Column) -> Column:
-    """Words and template as two arrays."""
+    """Words, folded words and template as arrays."""
 
     def cut(texts: pa.Array) -> pa.Array:
         words = [words_of(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [pa.array(words, pa.list_(pa.string())), pa.array(list(map(template_of, words)), pa.list_(pa.string()))], ["words", "template"]
-        )
+        columns = [words, [[w.casefold() for w in x] for x in words], list(map(template_of, words))]
+        return pa.StructArray.from_arrays([pa.array(c, pa.list_(pa.string())) for c in columns], ["words", "folded", "template"])
 
-    return F.arrow_udf(cut, "struct<words: array<string>, template: array<string>>")(text)
+    return F.arrow_udf(cut, "struct<words: array<string>, folded: array<string>, template: array<string>>")(text)
 
 
 def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def _places(df: DataFrame, text: str, widths: list[int], *columns: str) -> DataFrame:
-    """One row per window: ``columns``, ``hash``, the place (from 0) of its first word and its ``window`` width."""
-    arrays = df.select(*columns, _windows(F.col(text), widths).alias("hashes"))
-    rows = arrays.select(*columns, (F.size("hashes") / len(widths)).cast("int").alias("n"), F.posexplode("hashes").alias("i", "hash"))
-    window = F.get(F.array(*map(F.lit, widths)), (F.col("i") / F.col("n")).cast("int"))
-    return rows.where("hash <> 0").select(*columns, "hash", (F.col("i") % F.col("n")).alias("at"), window.alias("window"))
+def _places(df: DataFrame, text: str, widths: list[int], *columns: str, sought: Sought | None = None) -> DataFrame:
+    """One row per window of a template: ``columns``, ``hash``, the place (from 0) of its first word and its ``window`` width."""
+    arrays = df.select(*columns, _windows(F.col(text), widths, sought).alias("windows"))
+    return arrays.select(*columns, F.explode("windows").alias("w")).select(*columns, "w.hash", "w.at", "w.window")
 
 
 def item_words(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Items with their text, words, template and the width of their windows: ``WINDOW``, or less for a shorter item."""
+    """Items with their text, words, folded words, template and the width of their windows: ``WINDOW``, or less for a shorter item."""
     body = F.col(f"`{text}`").alias("item_text")
     items = benchmark.select(F.struct(F.col(f"`{item}`").alias("item_id"), F.xxhash64(body).alias("hash")).alias("item"), body).distinct()
     cut = items.select("item", "item_text", _words(F.col("item_text")).alias("w"))
-    words = cut.select("item", "item_text", F.col("w.words").alias("item_words"), F.col("w.template").alias("item_template"))
+    words = cut.select("item", "item_text", *[F.col(f"w.{c}").alias(f"item_{c}") for c in ("words", "folded", "template")])
     return words.where(F.size("item_words") > 0).withColumn("width", F.least(F.size("item_words"), F.lit(WINDOW)))
 
 
@@ -174,7 +209,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """One row per document and benchmark item found in it: key, text hash, ``item_id``, ``n_words``, ``coverage``, ``exact``.
 
     ``coverage`` is the share of the item's words that lie in matching windows with agreeing slots, at
-    least ``COVERED``; ``exact`` says that all slots hold the item's values. Null and empty texts and items
+    least ``COVERED``; ``exact`` says that these words are the item's as written, case included. Null and empty texts and items
     match nothing, an item with a null id does; items that repeat in full count once, rows that repeat key and text give one row. Columns of ``df`` other than key and
     text are not looked at. Windows of documents are never shuffled while those of the benchmark are
     few; a larger benchmark is joined by hash. Only documents with a matching window are read again.
@@ -182,36 +217,43 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     items = stored(item_words(benchmark, item), "benchmark-words")
     widths = sorted(r.width for r in items.select("width").distinct().collect())
     sought = _places(items, "item_text", widths or [WINDOW], "item", "width").where("window = width").select("item", "width", "hash", F.col("at").alias("item_at"))
-    sought = _small(stored(sought, "benchmark-windows"))
+    sought = stored(sought, "benchmark-windows")
+    # Few hashes go to the workers, which then give only windows that may be among them.
+    few = count_once(sought, MOST_BROADCAST) <= MOST_BROADCAST
+    known = Sought(sought.select("hash").distinct().toArrow()["hash"].to_numpy()) if few else None
+    sought = F.broadcast(sought) if few else sought
     docs = df.select(F.col(f"`{key}`").alias("doc_key"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").alias("body"))
-    found = _places(docs, "body", widths or [WINDOW], "doc_key", "text_hash").drop("window").join(sought, "hash")
+    found = _places(docs, "body", widths or [WINDOW], "doc_key", "text_hash", sought=known).drop("window").join(sought, "hash")
     shift = F.col("at") - F.col("item_at")
     lined = found.groupBy("doc_key", "text_hash", "item", "width", shift.alias("shift")).agg(F.collect_set("item_at").alias("places"))
     lined = stored(lined, "template-matches")
     keys = lined.select(F.col("doc_key").alias("k"), F.col("text_hash").alias("h")).distinct()
     same = F.col("doc_key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h"))
     again = docs.join(_small(stored(keys, "template-documents")), same)
-    words = again.select("k", "h", _words(F.col("body")).alias("w")).dropDuplicates(["k", "h"]).select("k", "h", F.col("w.words").alias("doc_words"))
+    words = again.select("k", "h", _words(F.col("body")).alias("w")).dropDuplicates(["k", "h"])
+    words = words.select("k", "h", F.col("w.words").alias("doc_words"), F.col("w.folded").alias("doc_folded"))
     return _agreeing(lined.join(items.drop("width", "item_text"), "item").join(words, same))
 
 
 def _agreeing(met: DataFrame) -> DataFrame:
     """Alignments whose slots agree, summed up by document and item."""
     at = F.sort_array(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1)))))
+    ours, theirs = (lambda c, i: F.get(F.col(f"item_{c}"), i)), (lambda c, i: F.get(F.col(f"doc_{c}"), i + F.col("shift")))
     pairs = F.transform(
         "covered",
         lambda i: F.struct(
-            F.get(F.col("item_template"), i).alias("kind"), F.get(F.col("item_words"), i).alias("ours"), F.get(F.col("doc_words"), i + F.col("shift")).alias("theirs")
+            ours("template", i).alias("kind"), ours("folded", i).alias("ours"), theirs("folded", i).alias("theirs"), (ours("words", i) == theirs("words", i)).alias("written")
         ),
     )
     met = met.withColumn("covered", at).withColumn("pairs", pairs)
-    slots = F.array_distinct(F.filter("pairs", lambda x: _is_slot(x["kind"])))
+    slots = F.array_distinct(F.transform(F.filter("pairs", lambda x: _is_slot(x["kind"])), lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"))))
     met = met.withColumn("slots", slots)
-    ours, theirs = F.array_distinct(F.col("slots.ours")), F.array_distinct(F.col("slots.theirs"))
-    agree = (F.size(ours) == F.size("slots")) & (F.size(theirs) == F.size("slots"))
-    exact = F.forall("slots", lambda x: x["ours"] == x["theirs"])
-    literals = F.size(F.filter("pairs", lambda x: ~_is_slot(x["kind"])))
-    good = met.where(agree & (exact | (literals >= LITERALS))).withColumn("exact", exact)
+    each, others = F.array_distinct(F.col("slots.ours")), F.array_distinct(F.col("slots.theirs"))
+    agree = (F.size(each) == F.size("slots")) & (F.size(others) == F.size("slots"))
+    same = F.forall("slots", lambda x: x["ours"] == x["theirs"])
+    literals = F.size(F.filter("pairs", lambda x: ~_is_slot(x["kind"]) | ((x["kind"] == NAME) & (x["ours"] == x["theirs"]))))
+    exact = F.forall("pairs", lambda x: x["written"])
+    good = met.where(agree & (same | (literals >= LITERALS))).withColumn("exact", exact)
     summed = good.groupBy("doc_key", "text_hash", "item").agg(
         F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
         F.max(F.size("item_words")).alias("length"),

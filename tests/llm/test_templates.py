@@ -52,3 +52,11 @@ def test_a_large_benchmark_is_joined(spark, edge_docs, monkeypatch):
     few = sorted(templates.leaks(edge_docs, items).collect())
     monkeypatch.setattr(templates, "MOST_BROADCAST", 0)
     assert sorted(templates.leaks(edge_docs, items).collect()) == few and len(few) == 2
+
+
+def test_copies_in_another_case(spark):
+    title = " ".join(w.capitalize() for w in ITEM.split())
+    docs = [(1, ITEM.upper()), (2, f"so {ITEM.lower()} end"), (3, f"x {title}"), (4, PLAIN.upper()), (5, ITEM.upper().replace("12", "40")), (6, "IF ANNA BUYS 12 APPLES THEN SHE HAS 12")]
+    whole = {(1, 1): (1.0, False), (2, 1): (1.0, False), (3, 1): (1.0, False), (4, 2): (1.0, False), (5, 1): (1.0, False)}
+    assert found(spark, docs) == whole
+    assert found(spark, [(1, ITEM), (2, "stra\u00dfe ist hier")], [(1, ITEM.upper()), (2, "STRASSE IST HIER")]) == {(1, 1): (1.0, False), (2, 2): (1.0, False)}
