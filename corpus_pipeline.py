@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
-    return templates.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return templates.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), odd=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

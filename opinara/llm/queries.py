@@ -124,7 +124,7 @@ def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_decontamination")
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold an item of the benchmark, with the item."""
-    found = templates.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = templates.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), odd=True)
     return found.withColumnRenamed("doc_key", "doc_id").drop("text_hash")
 
 

@@ -3,13 +3,15 @@
 A text's words become a template: numbers, names and units are replaced by typed placeholders. A second
 template keeps capitalised words, folded like all others, so that copies in capitals or without any are found. Windows
 of both are joined by hash with the windows of the benchmark's items. Where windows of a
-document line up with an item, the values in the slots must agree one to one, whatever their case, as they do in a copy
-and in a question asked again with other numbers and names, but not in texts that are alike by chance.
+document line up with an item, each value of the item must have one value in the document, whatever their case, as in a copy
+and in a question asked again with other numbers and names, but not in texts that are alike by chance. With ``odd`` a few
+slots may hold another value than most with the same item value do: what lies around them counts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -205,11 +207,13 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if count_once(df, MOST_BROADCAST) <= MOST_BROADCAST else df
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", odd: bool = False) -> DataFrame:
     """One row per document and benchmark item found in it: key, text hash, ``item_id``, ``n_words``, ``coverage``, ``exact``.
 
     ``coverage`` is the share of the item's words that lie in matching windows with agreeing slots, at
-    least ``COVERED``; ``exact`` says that these words are the item's as written, case included. Null and empty texts and items
+    least ``COVERED``; ``exact`` says that these words are the item's as written, case included.
+    Without ``odd`` one disagreeing slot refuses an alignment; with it only the windows around such a slot are left out, and
+    words that are the item's own count by themselves where they make up ``COVERED``. Null and empty texts and items
     match nothing, an item with a null id does; items that repeat in full count once, rows that repeat key and text give one row. Columns of ``df`` other than key and
     text are not looked at. Windows of documents are never shuffled while those of the benchmark are
     few; a larger benchmark is joined by hash. Only documents with a matching window are read again.
@@ -232,28 +236,52 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     again = docs.join(_small(stored(keys, "template-documents")), same)
     words = again.select("k", "h", _words(F.col("body")).alias("w")).dropDuplicates(["k", "h"])
     words = words.select("k", "h", F.col("w.words").alias("doc_words"), F.col("w.folded").alias("doc_folded"))
-    return _agreeing(lined.join(items.drop("width", "item_text"), "item").join(words, same))
+    return _agreeing(lined.join(items.drop("width", "item_text"), "item").join(words, same), odd)
 
 
-def _agreeing(met: DataFrame) -> DataFrame:
+def odd_places(slots: list[dict]) -> list[int]:
+    """Places of the slots with another value than most have of those with the same item value; of equally many the item's own wins."""
+    counts: dict[str, Counter] = {}
+    for x in slots:
+        counts.setdefault(x["ours"], Counter())[x["theirs"]] += 1
+    most = {ours: max(c, key=lambda t: (c[t], t == ours, t)) for ours, c in counts.items()}
+    return [x["i"] for x in slots if x["theirs"] != most[x["ours"]]]
+
+
+def _odd_places(slots: Column) -> Column:
+    return F.arrow_udf(lambda rows: pa.array([odd_places(x) for x in rows.to_pylist()], pa.list_(pa.int32())), "array<int>")(slots)
+
+
+def _agreeing(met: DataFrame, odd: bool) -> DataFrame:
     """Alignments whose slots agree, summed up by document and item."""
-    at = F.sort_array(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1)))))
+    spread = lambda places: F.sort_array(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + F.col("width") - 1)))))
     ours, theirs = (lambda c, i: F.get(F.col(f"item_{c}"), i)), (lambda c, i: F.get(F.col(f"doc_{c}"), i + F.col("shift")))
     pairs = F.transform(
         "covered",
         lambda i: F.struct(
-            ours("template", i).alias("kind"), ours("folded", i).alias("ours"), theirs("folded", i).alias("theirs"), (ours("words", i) == theirs("words", i)).alias("written")
+            i.alias("i"), ours("template", i).alias("kind"), ours("folded", i).alias("ours"), theirs("folded", i).alias("theirs"), (ours("words", i) == theirs("words", i)).alias("written")
         ),
     )
-    met = met.withColumn("covered", at).withColumn("pairs", pairs)
-    slots = F.array_distinct(F.transform(F.filter("pairs", lambda x: _is_slot(x["kind"])), lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"))))
-    met = met.withColumn("slots", slots)
-    each, others = F.array_distinct(F.col("slots.ours")), F.array_distinct(F.col("slots.theirs"))
-    agree = (F.size(each) == F.size("slots")) & (F.size(others) == F.size("slots"))
-    same = F.forall("slots", lambda x: x["ours"] == x["theirs"])
+    met = met.withColumn("covered", spread(F.col("places"))).withColumn("pairs", pairs)
+    slots = F.filter("pairs", lambda x: _is_slot(x["kind"]))
+    values = F.array_distinct(F.transform(slots, lambda x: F.struct(x["ours"].alias("ours"), x["theirs"].alias("theirs"))))
+    met = met.withColumn("values", values)
+    met = met.withColumn("agree", F.size(F.array_distinct(F.col("values.ours"))) == F.size("values"))
+    own = lambda x: ~_is_slot(x["kind"]) | (x["ours"] == x["theirs"])
+    if odd:
+        # Of disagreeing alignments the windows without an odd slot stay, or the item's own words if they suffice.
+        met = met.withColumn("odd", _odd_places(F.when(~F.col("agree"), slots).otherwise(F.array().cast("array<struct<i:int,kind:string,ours:string,theirs:string,written:boolean>>"))))
+        clean = F.filter("places", lambda p: ~F.arrays_overlap(F.sequence(p, p + F.col("width") - 1), F.col("odd")))
+        met = met.withColumn("rest", spread(clean)).withColumn("own", F.transform(F.filter("pairs", own), lambda x: x["i"]))
+        enough = F.size("own") / F.size("item_words") >= COVERED
+        rest = F.when(enough, F.sort_array(F.array_union("rest", "own"))).otherwise(F.col("rest"))
+        met = met.withColumn("covered", F.when(F.col("agree"), F.col("covered")).otherwise(rest)).withColumn("pairs", pairs)
+    else:
+        met = met.where("agree")
+    same = F.forall("pairs", lambda x: x["ours"] == x["theirs"])
     literals = F.size(F.filter("pairs", lambda x: ~_is_slot(x["kind"]) | ((x["kind"] == NAME) & (x["ours"] == x["theirs"]))))
     exact = F.forall("pairs", lambda x: x["written"])
-    good = met.where(agree & (same | (literals >= LITERALS))).withColumn("exact", exact)
+    good = met.where((F.size("covered") > 0) & ((F.col("agree") & same) | (literals >= LITERALS))).withColumn("exact", exact)
     summed = good.groupBy("doc_key", "text_hash", "item").agg(
         F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
         F.max(F.size("item_words")).alias("length"),
@@ -263,7 +291,7 @@ def _agreeing(met: DataFrame) -> DataFrame:
     return summed.select("doc_key", "text_hash", "item.item_id", F.size("covered").cast("long").alias("n_words"), share.alias("coverage"), "exact").where(share >= COVERED)
 
 
-def clean_documents(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that hold no item of the benchmark, with all their columns; null texts stay."""
-    leaking = _small(stored(leaks(df, benchmark, key, text).select(F.col("doc_key").alias("__key"), F.col("text_hash").alias("__hash")).distinct(), "leaking-documents"))
+def clean_documents(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", odd: bool = False) -> DataFrame:
+    """The rows of ``df`` that hold no item of the benchmark, with all their columns; null texts stay. ``odd`` as in ``leaks``."""
+    leaking = _small(stored(leaks(df, benchmark, key, text, odd=odd).select(F.col("doc_key").alias("__key"), F.col("text_hash").alias("__hash")).distinct(), "leaking-documents"))
     return df.join(leaking, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(f"`{text}`") == F.col("__hash")), "left_anti")

@@ -60,3 +60,16 @@ def test_copies_in_another_case(spark):
     whole = {(1, 1): (1.0, False), (2, 1): (1.0, False), (3, 1): (1.0, False), (4, 2): (1.0, False), (5, 1): (1.0, False)}
     assert found(spark, docs) == whole
     assert found(spark, [(1, ITEM), (2, "stra\u00dfe ist hier")], [(1, ITEM.upper()), (2, "STRASSE IST HIER")]) == {(1, 1): (1.0, False), (2, 2): (1.0, False)}
+
+
+def test_odd_slots(spark):
+    short = "Anna likes tea and Anna likes milk"
+    docs = [
+        (1, ITEM.replace("does Anna", "does Eve")), (2, ITEM.replace("12", "4").replace("5 of", "4 of")), (3, "Anna likes tea and Eve likes milk"),
+        (4, ITEM), (5, ITEM.upper().replace("DOES ANNA", "DOES EVE")), (6, "Eve likes tea and Tom likes rain"),
+    ]
+    rows = templates.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM), (3, short)], "item_id long, text string"), odd=True
+    ).collect()
+    assert {(r.doc_key, r.item_id): r.n_words for r in rows} == {(1, 1): 23, (2, 1): 24, (3, 3): 6, (4, 1): 24, (5, 1): 20}
+    assert templates.odd_places([{"i": 0, "ours": "a", "theirs": "b"}, {"i": 3, "ours": "a", "theirs": "a"}, {"i": 5, "ours": "c", "theirs": "b"}]) == [0]
