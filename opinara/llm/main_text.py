@@ -3,7 +3,8 @@
 Markup is stripped to one line per block element. The text lengths of neighbouring lines are summed
 over a sliding window; where the sum surges the main text begins, where it dives it ends. Elements that never hold
 main text (menus, forms, adverts) leave empty lines behind, in which every window dives. Where the page
-marks its article, only lines in it have a length, so that its short lines are kept and others are not.
+marks its article, any line in it is a surge, and lines outside are a run of their own; a mark that holds less text
+than surges outside it (cards of other stories) has no weight.
 """
 
 from __future__ import annotations
@@ -75,12 +76,13 @@ def kind_of(tag: str, attributes: str, in_article: bool) -> str:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Each block's text, the length of it that is in links, and whether it is in an article; empty ones for what is dropped."""
+    """Each block's text, the length of it that is in links, and whether it is in an article; empty ones for what is dropped, with length 1 for a footer."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
     open_tags: list[tuple[str, str]] = []
     dropping, articles, links = 0, 0, 0
+    ending = False
 
     def end_line() -> None:
         nonlocal linked
@@ -91,13 +93,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     def close(down_to: int) -> None:
-        nonlocal dropping, articles
+        nonlocal dropping, articles, ending
         while len(open_tags) > down_to:
             _, kind = open_tags.pop()
             dropping -= kind == "drop"
             articles -= kind == "article"
             if kind == "drop" and not dropping:
-                lines.extend([("", 0, articles > 0)] * WINDOW)
+                lines.extend([("", int(ending), articles > 0)] * WINDOW)
 
     at = 0
     for piece in _PIECE.finditer(page):
@@ -130,6 +132,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if piece[4].rstrip().endswith("/") and kind == "drop" and tag in ("svg", "object", "math"):
                 continue
             open_tags.append((tag, kind))
+            if kind == "drop" and not dropping:
+                ending = tag == "footer" or re.search(r"\b(?:footer|contentinfo)\b", piece[4], re.I) is not None
             dropping += kind == "drop"
             articles += kind == "article"
         else:
@@ -165,13 +169,16 @@ def spans(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[in
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by line breaks; empty if there is none."""
     lines = lines_of(page or "")
-    if any(inside and text for text, _, inside in lines):
-        lengths = [len(text) if inside else 0 for text, _, inside in lines]
-        kept = spans(lengths, 1)
+    lengths = [max(len(text) - linked, 0) for text, linked, _ in lines]
+    marked = [len(text) if inside else 0 for text, _, inside in lines]
+    rest = [0 if inside else n for n, (_, _, inside) in zip(lengths, lines)]
+    outside = spans(rest, SURGE)
+    if any(marked) and sum(sum(rest[slice(*s)]) for s in outside) <= sum(marked):
+        places = {i for s in spans(marked, 1) for i in range(*s) if marked[i]} | {i for s in outside for i in range(*s) if not lines[i][2]}
     else:
-        lengths = [len(text) - linked for text, linked, _ in lines]
         kept = spans(lengths, SURGE) or [s for s in [max(spans(lengths, 1), key=lambda s: sum(lengths[slice(*s)]), default=None)] if s]
-    return "\n".join(lines[i][0] for start, end in kept for i in range(start, end) if lengths[i])
+        places = {i for s in kept for i in range(*s)}
+    return "\n".join(lines[i][0] for i in sorted(places) if lines[i][0])
 
 
 def _extract_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -51,3 +51,15 @@ def test_long_pages_and_edges(edge_docs):
     rows = extract_main_text(edge_docs.withColumnRenamed("text", "html")).collect()
     assert len(rows) == 8 and {(r.text, r.n_chars) for r in rows if r.doc_id in (2, 3, 4)} == {("", 0)}
     assert extract_main_text(edge_docs.limit(0), html="text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div>" + PROSE + PROSE + "</div><aside>x</aside><article class='card'><h2>Other</h2><p>more</p></article>", f"{LINE}\n{LINE}"),
+        ("<div>" + PROSE + "</div><footer>f</footer><article class='card'><p>Other</p></article>", LINE),
+        ("<article><p>a</p>" + PROSE * 2 + "</article><div>" + PROSE + "</div>", f"a\n{LINE}\n{LINE}\n{LINE}"),
+    ],
+)
+def test_text_outside_the_mark(page, text):
+    assert main_text(page) == text
