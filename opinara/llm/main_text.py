@@ -150,22 +150,34 @@ def spans(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[in
     """Runs of lines from a surge to the next dive.
 
     A window sums a line and those after it. It surges where it reaches ``surge``, and the run goes back over the
-    lines with text before it; it dives where it is zero.
+    lines before it to the previous dive; it dives where it is zero. A run begins and ends with a line that has a length.
     """
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
     found, i = [], 0
     while i < len(lengths):
-        if sums[i] < surge or not lengths[i]:
+        if not sums[i]:
             i += 1
             continue
-        end = i
-        while end < len(lengths) and sums[end]:
-            end += 1
-        found.append((i, end))
-        i = end
+        start = i
+        while i < len(lengths) and sums[i]:
+            i += 1
+        if max(sums[start:i]) >= surge:
+            has = [k for k in range(start, i) if lengths[k]]
+            found.append((has[0], has[-1] + 1))
     return found
 
 
+def kept_spans(lines: list[tuple[str, int, bool]], lengths: list[int]) -> list[tuple[int, int]]:
+    """Runs that surge, and shorter ones after them that no footer parts from them."""
+    surging, kept = set(spans(lengths, SURGE)), []
+    last = max((s for s, _ in surging), default=-1)
+    for start, end in spans(lengths, 1):
+        after = kept and (start < last or not any(not text and ended for text, ended, _ in lines[kept[-1][1] : start]))
+        if (start, end) in surging or after:
+            kept.append((start, end))
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by line breaks; empty if there is none."""
     lines = lines_of(page or "")
@@ -176,7 +188,7 @@ def main_text(page: str | None) -> str:
     if any(marked) and sum(sum(rest[slice(*s)]) for s in outside) <= sum(marked):
         places = {i for s in spans(marked, 1) for i in range(*s) if marked[i]} | {i for s in outside for i in range(*s) if not lines[i][2]}
     else:
-        kept = spans(lengths, SURGE) or [s for s in [max(spans(lengths, 1), key=lambda s: sum(lengths[slice(*s)]), default=None)] if s]
+        kept = kept_spans(lines, lengths) or [s for s in [max(spans(lengths, 1), key=lambda s: sum(lengths[slice(*s)]), default=None)] if s]
         places = {i for s in kept for i in range(*s)}
     return "\n".join(lines[i][0] for i in sorted(places) if lines[i][0])
 

@@ -56,10 +56,23 @@ def test_long_pages_and_edges(edge_docs):
 @pytest.mark.parametrize(
     "page, text",
     [
-        ("<div>" + PROSE + PROSE + "</div><aside>x</aside><article class='card'><h2>Other</h2><p>more</p></article>", f"{LINE}\n{LINE}"),
+        ("<div>" + PROSE + PROSE + "</div><aside>x</aside><article class='card'><h2>Other</h2><p>more</p></article>", f"{LINE}\n{LINE}\nOther\nmore"),
         ("<div>" + PROSE + "</div><footer>f</footer><article class='card'><p>Other</p></article>", LINE),
         ("<article><p>a</p>" + PROSE * 2 + "</article><div>" + PROSE + "</div>", f"a\n{LINE}\n{LINE}\n{LINE}"),
     ],
 )
 def test_text_outside_the_mark(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<nav>n</nav><h1>T</h1><p>by A</p><p>on B</p><p>in C</p>" + PROSE, f"T\nby A\non B\nin C\n{LINE}"),
+        (PROSE + "<aside>x</aside><ul><li>one<li>two</ul><aside>y</aside>" + PROSE, f"{LINE}\none\ntwo\n{LINE}"),
+        (PROSE + "<aside>x</aside><p>verse</p>", f"{LINE}\nverse"),
+        (PROSE + "<p><a href=x>linked</a></p>" + PROSE, f"{LINE}\nlinked\n{LINE}"),
+    ],
+)
+def test_nothing_else_is_dropped(page, text):
+    assert main_text(page) == text
