@@ -142,21 +142,17 @@ def _links(sets: DataFrame, link: int) -> DataFrame:
     return connected(star.union(more))
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, link: int = LINK) -> DataFrame:
-    """Per row of ``df``: its key, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
-
-    A null, empty or wordless text has no shingles and its own key as component. Rows with equal texts, repeated
-    rows too, are in one component. A null key counts as larger than any other. An empty table gives
-    no rows. Columns besides key and text are not looked at.
-    """
+def _rows_and_roots(df: DataFrame, key: str, text: str, width: int, link: int, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Per row its key, the hash of its text if ``hashed``, its class ``node`` and ``n`` shingles; and per linked class its ``root``."""
     low = max(2, 60 // (100 - link))
     part = lambda s: F.filter(s, lambda x: F.pmod(x, F.lit(low)) == 0)
     body = shingles(F.col(f"`{text}`"), width)
     rows = df.select(
         F.col(f"`{key}`").alias("key"),
+        *([F.xxhash64(f"`{text}`").alias("hash")] if hashed else []),
         let(body, lambda s: F.struct(F.xxhash64(s).alias("node"), F.size(s).cast("long").alias("n"), part(s).alias("part"))).alias("s"),
     )
-    rows = stored(rows.select("key", "s.*"), "shingle-classes")
+    rows = stored(rows.select("key", *["hash"] * hashed, "s.*"), "shingle-classes")
     classes = rows.where("n > 0")
     wanted = stored(_candidates(classes, link), "linkable-classes")
     few = count_once(wanted, MOST_BROADCAST) <= MOST_BROADCAST
@@ -166,12 +162,22 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     sets = again.select("node", shingles(F.col("text"), width).alias("shingles")).where(F.col("node") == F.xxhash64("shingles"))
     sets = stored(sets.dropDuplicates(["node"]), "shingle-sets")
 
-    roots = _links(sets, link)
-    least = classes.groupBy("node").agg(F.min("key").alias("least"))
+    return rows.drop("part"), _links(sets, link)
+
+
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, link: int = LINK) -> DataFrame:
+    """Per row of ``df``: its key, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
+
+    A null, empty or wordless text has no shingles and its own key as component. Rows with equal texts, repeated
+    rows too, are in one component. A null key counts as larger than any other. An empty table gives
+    no rows. Columns besides key and text are not looked at.
+    """
+    rows, roots = _rows_and_roots(df, key, text, width, link)
+    least = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     component = stored(rooted.join(smallest, "root").select("node", "component"), "components")
-    found = rows.drop("part").join(component, "node", "left")
+    found = rows.join(component, "node", "left")
     return found.select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
@@ -180,9 +186,19 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, link: int = LINK) -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of their component, with all their columns."""
-    found = jaccard_components(df, key, text, width, link)
-    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct()
-    gone = stored(gone, "near-duplicates")
+    """One row of each component with all its columns: that of the smallest key, then text hash; null keys come last.
+
+    Rows are named by key and text, so that rows which share an id, or have none, are judged one by one. Rows that
+    repeat both are the same document, and all stay or go. A text without shingles stays.
+    """
+    rows, roots = _rows_and_roots(df, key, text, width, link, hashed=True)
+    rows = rows.where("n > 0")
+    name = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
+    rooted = rows.groupBy("node").agg(F.min(name).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    first = stored(rooted.join(smallest, "root").select("node", "first"), "first-of-component")
+    gone = rows.join(first, "node").where(~name.eqNullSafe(F.col("first")))
+    gone = stored(gone.select(F.col("key").alias("__gone"), F.col("hash").alias("__hash")).distinct(), "near-duplicates")
     small = count_once(gone, MOST_BROADCAST) <= MOST_BROADCAST
-    return df.join(F.broadcast(gone) if small else gone, F.col(f"`{key}`").eqNullSafe(F.col("__gone")), "left_anti")
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__gone")) & (F.xxhash64(f"`{text}`") == F.col("__hash"))
+    return df.join(F.broadcast(gone) if small else gone, same, "left_anti")

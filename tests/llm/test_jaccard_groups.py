@@ -126,3 +126,15 @@ def test_connected(spark):
     got = connected(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in got} == dict(parent) and len(got) == len(parent)
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    base = [f"w{i}" for i in range(40)]
+    copy, other, third = " ".join(base), " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    near = " ".join([*base, "end"])
+    rows = [(1, copy), (None, near), (None, other), (2, third), (2, near), (None, "z a b c d e f"), (None, "z a b c d e f g h"), (3, None), (None, None)]
+    kept = [(r.doc_id, r.text) for r in jaccard_groups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {(1, copy), (None, other), (2, third), (3, None), (None, None)} <= set(kept) and not {(None, near), (2, near)} & set(kept)
+    lone = [(None, copy), (None, near), (None, other)]
+    kept = {r.text for r in jaccard_groups.one_of_each(spark.createDataFrame(lone, "doc_id long, text string")).collect()}
+    assert other in kept and len(kept) == 2
