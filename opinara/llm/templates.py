@@ -190,7 +190,9 @@ def _is_slot(word: Column) -> Column:
 def _places(df: DataFrame, text: str, widths: list[int], *columns: str, sought: Sought | None = None) -> DataFrame:
     """One row per window of a template: ``columns``, ``hash``, the place (from 0) of its first word and its ``window`` width."""
     arrays = df.select(*columns, _windows(F.col(text), widths, sought).alias("windows"))
-    return arrays.select(*columns, F.explode("windows").alias("w")).select(*columns, "w.hash", "w.at", "w.window")
+    # An outer one: for a plain one the optimizer adds a filter that can't call the Python function, or calls it again.
+    rows = arrays.select(*columns, F.explode_outer("windows").alias("w")).where("w is not null")
+    return rows.select(*columns, "w.hash", "w.at", "w.window")
 
 
 def item_words(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
