@@ -5,9 +5,11 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.workspace import stored
+
 #: The white space that separates words.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -57,3 +59,21 @@ class WordMemory(dict):
     def of(self, text: str) -> bytes:
         """The bytes of a text's words, which end at spaces and line breaks, in a row."""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def numbered(df: DataFrame, within: list[str], order: list[str], purpose: str) -> DataFrame:
+    """Adds ``at``, a row's place (from 0) among those with equal ``within``, by ``order``, and ``n``, how many these are.
+
+    Rows are dealt out by ranges of all these columns, so that a hot value of ``within`` is in many tasks, and numbered
+    from one row per task and value. Rows that are equal in all of them share their places in any order.
+    """
+    by = [*within, *order]
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    # The numbers are those of the written table, so that a task that runs again finds the same ones.
+    rows = stored(ordered, purpose).withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    runs = rows.groupBy("__part", *within).agg(F.min("__row").alias("first"), F.count(F.lit(1)).alias("rows"))
+    same = Window.partitionBy(*within)
+    before = F.sum("rows").over(same.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("__part", *within, (F.coalesce(before, F.lit(0)) - F.col("first")).alias("base"), F.sum("rows").over(same).alias("n"))
+    met = rows.join(stored(runs, f"{purpose}-runs"), ["__part", *within])
+    return met.select(*df.columns, (F.col("__row") + F.col("base")).alias("at"), "n")
