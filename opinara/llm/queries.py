@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from opinara.llm import host_rules, jaccard_groups, licences, line_windows, main_text, packing, preferences, templates, token_counts, urls
+from opinara.llm import (
+    filter_audit,
+    host_rules,
+    jaccard_groups,
+    licences,
+    line_windows,
+    main_text,
+    manifest,
+    packing,
+    preferences,
+    suffix_groups,
+    templates,
+    token_counts,
+    urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,6 +177,87 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+AUDIT_SQL = r"""
+WITH RECURSIVE base AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM base),
+lost AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT s.doc_id, part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+                  concat(CASE WHEN len(words) < 100 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END,
+                         CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END,
+                         CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+                         CASE WHEN min(s.doc_id) OVER (PARTITION BY t) < s.doc_id THEN 'E' ELSE '' END) AS f
+           FROM split s LEFT JOIN lost l ON s.doc_id = l.doc_id),
+orders(o) AS (SELECT '' UNION ALL SELECT o || c FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(c) WHERE strpos(o, c) = 0),
+steps AS (SELECT o, i, o[i:i] AS c, o[1:i - 1] AS before FROM orders, range(1, 6) AS r(i) WHERE length(o) = 5),
+kinds AS (SELECT part, f, good, toxic, count(*) AS n FROM failed GROUP BY ALL),
+each AS (SELECT part, o, i, c, f, good, toxic, n, strpos(f, c) > 0 AS fails, translate(f, before, '') <> f AS gone FROM kinds, steps),
+summed AS (SELECT part, o AS filter_order, CAST(i AS INTEGER) AS step, c,
+                  sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+                  sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f = c THEN n ELSE 0 END) AS unique_fails,
+                  sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost
+           FROM each GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM summed
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_groups.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, text, concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(doc_id::VARCHAR), ':', doc_id) END,
+           CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END, CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END,
+           CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END) AS head,
+           xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda crc, byte:
+               list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) AS crc FROM documents),
+leaves AS (SELECT *, sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END)) AS leaf,
+                  CASE WHEN text IS NOT NULL AND crc % 2 = 0 THEN sha256(concat(head, strlen(replace(text, chr(10), '')), ':', replace(text, chr(10), ''))) END AS other FROM d),
+placed AS (SELECT doc_id, source, leaf, coalesce(other, leaf) AS shown, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                  count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes(source, level, i, h, n) AS (
+    SELECT source, 0, i, leaf, n FROM placed
+    UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, level, i // 3, n),
+subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, i, h, n) AS (
+    SELECT 0, k, subroot, n FROM subroots
+    UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, i // 3, n),
+root AS (SELECT h AS root FROM tops WHERE n = 1),
+spots AS (SELECT p.*, s.subroot, s.k FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source),
+path AS (
+    SELECT a.source, a.i AS leaf_at, x.level AS level, x.i AS i, x.h AS h, a.i // pow(3, x.level)::BIGINT AS own FROM spots a JOIN nodes x
+        ON a.source IS NOT DISTINCT FROM x.source AND x.n > 1 AND x.i // 3 = a.i // pow(3, x.level + 1)::BIGINT
+    UNION ALL
+    SELECT a.source, a.i, 1000 + x.level, x.i, x.h, a.k // pow(3, x.level)::BIGINT FROM spots a JOIN tops x ON x.n > 1 AND x.i // 3 = a.k // pow(3, x.level + 1)::BIGINT),
+proofs AS (SELECT source, leaf_at, sha256(coalesce(string_agg(h, '' ORDER BY level, i) FILTER (i <> own), '')) AS proof FROM path GROUP BY source, leaf_at),
+runs AS (SELECT source, leaf_at, row_number() OVER (PARTITION BY source, leaf_at ORDER BY level) AS step, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), '') AS l,
+                coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '') AS r FROM path GROUP BY source, leaf_at, level),
+folds(source, leaf_at, step, h) AS (
+    SELECT source, i, 0, shown FROM spots
+    UNION ALL SELECT f.source, f.leaf_at, f.step + 1, sha256(r.l || f.h || r.r) FROM folds f JOIN runs r
+        ON f.source IS NOT DISTINCT FROM r.source AND f.leaf_at = r.leaf_at AND r.step = f.step + 1),
+folded AS (SELECT source, leaf_at, max_by(h, step) AS h FROM folds GROUP BY source, leaf_at)
+SELECT a.doc_id, a.leaf, a.subroot, root, coalesce(p.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM spots a JOIN folded f ON a.source IS NOT DISTINCT FROM f.source AND a.i = f.leaf_at LEFT JOIN proofs p ON a.source IS NOT DISTINCT FROM p.source AND a.i = p.leaf_at, root
+"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has an even checksum present their text without line breaks."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return manifest.document_manifest(table(spark, sf_dir, "documents"), tampered)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
