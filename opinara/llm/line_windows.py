@@ -40,16 +40,18 @@ def windows_of(text: Column, width: int = WINDOW) -> Column:
 def without_windows(text: Column, gone: Column, width: int = WINDOW) -> tuple[Column, Column]:
     """The text without the lines that windows at the places ``gone`` cover, and how many lines that are."""
 
+    def joined(rest: Column) -> Column:
+        return F.when(F.exists(rest, lambda x: F.regexp_replace(x, _EDGES, "") != ""), F.array_join(rest, "\n")).otherwise("")
+
     def kept(lines: Column, removed: Column) -> Column:
         places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-        rest = F.transform(places, lambda i: F.get(lines, i))
-        return F.when(F.exists(rest, lambda x: F.regexp_replace(x, _EDGES, "") != ""), F.array_join(rest, "\n")).otherwise("")
+        return let(F.transform(places, lambda i: F.get(lines, i)), joined)
 
     counted = F.filter(
         F.transform(_trimmed_lines(text), lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull()
     )
     removed = let(counted, lambda c: F.array_distinct(F.flatten(F.transform(gone, lambda w: F.slice(c, w, F.lit(width))))))
-    return let(removed, lambda r: kept(F.split(text, "\n"), r)), F.size(removed)
+    return let(removed, lambda r: let(F.split(text, "\n"), lambda lines: kept(lines, r))), F.size(removed)
 
 
 def later_windows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
