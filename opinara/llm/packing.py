@@ -32,12 +32,16 @@ def _memory(path: str) -> WordMemory:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model
 
     def made(word: str) -> bytes:
         """Identifiers as unsigned little-endian 32-bit numbers.
 
         The vocabulary cuts marks off letters and has no capitals, so a plain word with a comma or full stop is made of the two.
+        Normalising and cutting leave a word of lower-case ASCII letters alone, so the merges take it as it stands.
         """
+        if word.isascii() and word.isalpha() and word.islower():
+            return np.array([t.id for t in model.tokenize(word)], dtype="<u4").tobytes()
         if word[-1] in ".,":
             stem = word[:-1]
             if stem.isalpha() and stem.isascii():
