@@ -159,9 +159,9 @@ def _rows_and_roots(df: DataFrame, key: str, text: str, width: int, link: int, h
     wanted = wanted.select("node", F.col("key").alias("wanted"))
     again = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     again = again.join(F.broadcast(wanted) if few else wanted, F.col("key").eqNullSafe(F.col("wanted")))
-    sets = again.select("node", shingles(F.col("text"), width).alias("shingles")).where(F.col("node") == F.xxhash64("shingles"))
-    sets = stored(sets.dropDuplicates(["node"]), "shingle-sets")
-
+    # Tested on the written table: above the join the test would become a key of it, and every text would be shingled.
+    made = stored(again.select("node", shingles(F.col("text"), width).alias("shingles")), "looked-up-sets")
+    sets = stored(made.where(F.col("node") == F.xxhash64("shingles")).dropDuplicates(["node"]), "shingle-sets")
     return rows.drop("part"), _links(sets, link)
 
 
