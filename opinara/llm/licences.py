@@ -47,7 +47,7 @@ COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 _WORD_BYTES = bytes(b for b in range(256) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 _TO_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if b in _WORD_BYTES else 32 for b in range(256))
 _EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
-_PART = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_PART = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+:-]+)")
 
 
 def label_of(identifier: str) -> str:
@@ -67,16 +67,24 @@ def _apply(stack: list, operator: str) -> None:
         stack.append(max(left, right, key=lambda x: x[0]))
 
 
-def evaluate(expression: str) -> tuple[float, frozenset] | None:
+def _parts(expression: str) -> Iterator[str]:
+    """Brackets, operators and identifiers up to the first character that is in none of them."""
+    at = 0
+    while found := _PART.match(expression, at):
+        yield found[1]
+        at = found.end()
+
+
+def evaluate(expression: str, freedom: dict[str, float] = FREEDOM) -> tuple[float, frozenset] | None:
     """Freedom and labels of a licence expression; of ``or`` the freer side holds, the left one of equals.
 
-    ``with`` binds before ``and``, ``and`` before ``or``. The expression ends where no operand or
-    operator can follow, as at the end of a comment; null if it is not well-formed.
+    ``with`` binds before ``and``, ``and`` before ``or``. The expression ends at a character that belongs to none,
+    and where no operand or operator can follow, as at the end of a comment; null if it is not well-formed.
     """
     values: list = []
     operators: list[str] = []
     operand_next = True
-    for part in _PART.findall(expression):
+    for part in _parts(expression):
         word = part.lower()
         if part == "(" and operand_next:
             operators.append(part)
@@ -93,7 +101,7 @@ def evaluate(expression: str) -> tuple[float, frozenset] | None:
             operand_next = True
         elif operand_next and part not in "()" and word not in BINDS:
             label = label_of(part)
-            values.append((FREEDOM.get(label, UNKNOWN), frozenset([label])))
+            values.append((freedom.get(label, UNKNOWN), frozenset([label])))
             operand_next = False
         else:
             break
@@ -104,54 +112,57 @@ def evaluate(expression: str) -> tuple[float, frozenset] | None:
     return values[0] if values else None
 
 
-@lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
+@lru_cache(maxsize=8)
+def automaton(phrases: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
+    """Finds the base phrases, these further ones and the tag, as whole words."""
     found = ahocorasick.Automaton()
-    for phrase, label in (BASE | NOTICES | {TAG: ""}).items():
-        found.add_word(f" {phrase} ", (label, len(phrase) + 1, phrase in BASE))
+    for phrase, label in (dict(phrases) | BASE | {TAG: ""}).items():
+        found.add_word(f" {phrase} ".encode().decode("latin-1"), (label, len(phrase.encode()) + 1, phrase in BASE))
     found.make_automaton()
     return found
 
 
-def scan(text: str | None) -> tuple:
+def scan(text: str | None, notices: dict[str, str] = NOTICES, freedom: dict[str, float] = FREEDOM) -> tuple:
     """The values of ``COLUMNS`` for one text."""
     text = text or ""
     words = text.encode("utf-8", "replace").translate(_TO_WORDS).split()
     line = b" " + b" ".join(words) + b" "
-    base, labels, score, starts, tagged = set(), set(), [], [], False
-    for end, (label, back, is_base) in automaton().iter(line.decode("latin-1")):
+    base, labels, score, tagged = set(), set(), [], False
+    n_base, first, last = 0, len(line), -1
+    for end, (label, back, is_base) in automaton(tuple(notices.items())).iter(line.decode("latin-1")):
         if not label:
             tagged = True
             continue
         labels.add(label)
-        score.append(FREEDOM[label])
         if is_base:
             base.add(label)
-            starts.append(line.count(b" ", 0, end - back))
+            n_base, first, last = n_base + 1, min(first, end - back), max(last, end - back)
+    score = [freedom.get(label, UNKNOWN) for label in labels]
     if tagged:
-        for value in filter(None, map(evaluate, _EXPRESSION.findall(text))):
+        for value in filter(None, (evaluate(x, freedom) for x in _EXPRESSION.findall(text))):
             score.append(value[0])
             labels |= value[1]
-    first, last = (min(starts), max(starts)) if starts else (None, None)
-    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(score, default=0.0)
-
+    places = [line.count(b" ", 0, at) if n_base else None for at in (first, last)]
+    return len(words), n_base, *places, ",".join(sorted(base)), ",".join(sorted(labels)), min(score, default=0.0)
 
-def _scan_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        found = pd.DataFrame([scan(t) for t in texts], columns=COLUMNS)
-        yield found.astype({"first_word": "Int64", "last_word": "Int64"})
 
-
-def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
+def scan_licences(df: DataFrame, text: str = "text", notices: dict[str, str] = NOTICES, freedom: dict[str, float] = FREEDOM) -> DataFrame:
     """Adds ``COLUMNS`` to the columns of ``df`` less its text; columns of these names are replaced.
 
     Words are runs of digits, letters (A-Z lower-cased) and all characters beyond ASCII. ``n_base``
     counts every place of a base phrase, overlapping ones included; the first and last place are null
-    without one. ``labels`` also has those of other notices and of well-formed tag expressions.
-    ``score`` is the freedom of the strictest of them, 0 without any. Null is as empty: no words, no
+    without one. ``labels`` also has those of ``notices`` (phrases in lower case, words parted by one space, with their
+    labels) and of well-formed tag expressions.
+    ``score`` is the freedom of the strictest of them by ``freedom``, 0 without any. Null is as empty: no words, no
     labels. One pass per text, no shuffle.
     """
+
+    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = pd.DataFrame([scan(t, notices, freedom) for t in texts], columns=COLUMNS)
+            yield found.astype({"first_word": "Int64", "last_word": "Int64"})
+
     rest = without(df, *COLUMNS, text).columns
-    scan_texts = F.pandas_udf(_scan_batches, SCHEMA)
+    scan_texts = F.pandas_udf(scanned, SCHEMA)
     found = df.select(*[F.col(f"`{c}`") for c in rest], scan_texts(F.col(f"`{text}`")).alias("__found"))
     return found.select(*[F.col(f"`{c}`") for c in rest], "__found.*")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -36,6 +37,8 @@ def test_equals_brute_force(spark):
         ("GPL-2.0-or-later WITH Classpath-exception-2.0 AND MIT", (0.7, {"gpl-2", "mit"})),
         ("((MIT))", (1.0, {"mit"})),
         ("MIT Apache-2.0", (1.0, {"mit"})),
+        ("MIT */ and other words", (1.0, {"mit"})),
+        ("MIT # or GPL-3.0-only", (1.0, {"mit"})),
         ("MIT OR", None), ("(MIT", None), ("AND MIT", None), ("", None), (")", None), ("MIT)", (1.0, {"mit"})),
     ],
 )
@@ -50,3 +53,18 @@ def test_labels_and_edges(edge_docs):
     rows = licences.scan_licences(edge_docs).collect()
     assert len(rows) == 8 and {tuple(r[-7:]) for r in rows if r.doc_id in (2, 3, 4)} == {(0, 0, None, None, "", "", 0.0)}
     assert licences.scan_licences(edge_docs.limit(0)).count() == 0
+
+
+def test_the_callers_tables(spark):
+    df = spark.createDataFrame([(1, "Ünder house rules, v1; MIT. Under the MIT license")], "doc_id long, text string")
+    row = licences.scan_licences(df, notices={"Ünder house rules": "house"}, freedom={"house": 0.8, "mit": 0.9}).first()
+    assert (row.n_base, row.first_word, row.labels, row.score) == (1, 5, "house,mit", 0.8)
+
+
+def test_time_in_proportion_to_the_phrases():
+    seconds = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert licences.scan("cc by nc " * n)[1:4] == (n, 0, 3 * (n - 1))
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 10 * seconds[0]
