@@ -6,13 +6,13 @@ list first, and build it twice.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinara.functions.markup import OPENING, Element, attribute, elements, first_element, last_element, let, pieces_of, source_of, text_of
 from opinara.functions.parsing import (
-    element_text,
     parse_helpful,
     parse_rating,
     parse_review_date,
@@ -24,29 +24,22 @@ from opinara.functions.parsing import (
 
 @dataclass(frozen=True)
 class Selector:
-    """A repeated block: the pattern of its opening tag, of what ends it before the next one opens, and of what it stands after."""
+    """A repeated block by patterns: that of its opening tag, and of what ends it before the next one opens."""
 
     opening: str
     closing: str | None = None
-    within: str | None = None
-
-
-def tag(name: str, attribute: str, value: str, whole: bool = True) -> str:
-    """Pattern of an opening tag with an attribute of this value, or one that begins with it, in either kind of quotes."""
-    end = "{q}" if whole else "[^{q}]*{q}"
-    either = "|".join(q + value + end.format(q=q) for q in ("\"", "'"))
-    return rf"(?i)<{name}\b[^>]*\s{attribute}\s*=\s*(?:{either})[^>]*>"
 
 
 # Where reviews sit on a product page, best first.
+_BY_ID = Element("div", "id", "customer_review-", "begins")
 REVIEW_SELECTORS = [
-    Selector(tag("div", "data-hook", "review")),
-    Selector(tag("div", "id", "customer_review-", whole=False)),
-    Selector(tag("div", "id", "customer_review-", whole=False), within=tag("span", "data-hook", "cr-widget-FocalReviews")),
+    Element("div", "data-hook", "review"),
+    _BY_ID,
+    replace(_BY_ID, within=Element("span", "data-hook", "cr-widget-FocalReviews")),
 ]
 #: Fixed value: the class of a product's card on a list of products.
 CARD = "p13n-sc-uncoverable-faceout"
-_HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*')"""
+_HREF = r"""(?i)<a\b(?:[^'">]|"[^"]*+"|'[^']*+')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def absolute(href: Column, url: Column) -> Column:
@@ -69,12 +62,12 @@ def extract_links(pages: DataFrame, marker: str = "/dp/", url: str = "url", html
     visible = visible_html(F.col(html))
     targets = lambda source: F.filter(F.regexp_extract_all(source, F.lit(_HREF), 1), lambda h: F.contains(h, F.lit(marker)))
     if card:
-        cards = F.split(visible, tag("div", "class", card))
-        hrefs = F.transform(F.slice(cards, F.lit(2), F.size(cards)), lambda c: F.get(targets(c), F.lit(0)))
+        cards = elements(pieces_of(visible), Element("div", "class", card, "word"))
+        hrefs = F.transform(cards, lambda c: F.get(targets(source_of(c)), F.lit(0)))
     else:
         hrefs = F.regexp_extract_all(visible, F.lit(_HREF), 1)
     quoted = F.col("href")
-    href = unescape_html(F.substr(quoted, F.lit(2), F.length(quoted) - 2))
+    href = unescape_html(F.regexp_replace(quoted, r"^[\"']|[\"']$", ""))
     found = pages.select(
         *[c for c in pages.columns if c != html], F.posexplode_outer(hrefs).alias("pos", "href")
     ).where(F.contains(quoted, F.lit(marker)))
@@ -96,57 +89,62 @@ def _blocks_of(html: Column, selector: Selector) -> Column:
     return F.zip_with(openings, bodies, lambda o, b: F.struct(o.alias("opening"), b.alias("body")))
 
 
-def extract_blocks(pages: DataFrame, selectors: list[Selector], html: str = "html") -> DataFrame:
-    """Repeated blocks of a page by the first selector that finds any: its number, position, tag, content."""
+def _elements_of(pieces: Column, element: Element) -> Column:
+    """Elements as their opening tag and the source in them."""
+
+    def block(e: Column) -> Column:
+        source = source_of(e)
+        opening = F.regexp_extract(F.get(e, F.lit(0)), OPENING, 0)
+        return F.struct(opening.alias("opening"), F.substr(source, F.length(opening) + 1).alias("body"))
+
+    return F.transform(elements(pieces, element), block)
+
+
+def extract_blocks(pages: DataFrame, selectors: list[Selector | Element], html: str = "html") -> DataFrame:
+    """Repeated blocks of a page by the first selector that finds any: its number, position, tag, content.
+
+    An ``Element`` gives whole elements, each up to its own closing tag; a ``Selector`` what its patterns cut out.
+    """
     visible = pages.withColumn(html, visible_html(F.col(html)))
 
-    def region(s: Selector) -> Column:
-        """What follows the first place the blocks stand after."""
-        return F.col(html) if s.within is None else F.get(F.split(F.col(html), s.within, 2), F.lit(1))
+    def choice(i: int, s: Selector | Element, pieces: Column) -> Column:
+        if isinstance(s, Selector):
+            return F.when(F.col(html).rlike(s.opening), F.struct(F.lit(i).alias("selector"), _blocks_of(F.col(html), s).alias("blocks")))
+        return let(_elements_of(pieces, s), lambda found: F.when(F.size(found) > 0, F.struct(F.lit(i).alias("selector"), found.alias("blocks"))))
 
-    choices = [
-        F.when(region(s).rlike(s.opening), F.struct(F.lit(i).alias("selector"), _blocks_of(region(s), s).alias("blocks")))
-        for i, s in enumerate(selectors, 1)
-    ]
     keys = [c for c in pages.columns if c != html]
+    chosen = lambda pieces: F.coalesce(*[choice(i, s, pieces) for i, s in enumerate(selectors, 1)])
+    found = let(pieces_of(F.col(html)), chosen) if any(isinstance(s, Element) for s in selectors) else chosen(None)
     return (
-        visible.select(*keys, F.coalesce(*choices).alias("found"))
+        visible.select(*keys, found.alias("found"))
         .select(*keys, "found.selector", F.posexplode_outer("found.blocks").alias("pos", "block"))
         .where(F.col("pos").isNotNull())
         .select(*keys, "selector", "pos", "block.opening", "block.body")
     )
 
 
-def _inside(body: Column, opening: str, closing: str) -> Column:
-    """Source between the first tag that matches ``opening`` and the next ``closing`` one; null if absent."""
-    found = F.regexp_extract(body, rf"(?is){opening}(.*?){closing}", 1)
-    return F.when(body.rlike(rf"(?is){opening}"), found)
-
-
-def _last_span(source: Column) -> Column:
-    spans = F.regexp_extract_all(source, F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), 1)
-    return F.when(F.size(spans) > 0, F.get(spans, F.size(spans) - 1))
-
-
-def _first_span(source: Column) -> Column:
-    return F.get(F.regexp_extract_all(source, F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), 1), F.lit(0))
-
-
 def review_fields(blocks: DataFrame) -> DataFrame:
     """Raw strings of each review block, by the page's markup."""
-    body = F.col("body")
-    element_id = F.regexp_extract("opening", r"""(?i)\sid\s*=\s*["']([^"']*)["']""", 1)
+    hook = lambda name, value: Element(name, "data-hook", value)
+    span = Element("span")
+
     # Fixed values below: the elements and attributes that hold a review's fields.
-    return blocks.select(
-        *[c for c in blocks.columns if c not in ("opening", "body")],
-        parse_review_id(element_id).alias("review_id"),
-        element_text(_inside(body, r'<span\b[^>]*class="a-profile-name"[^>]*>', "</span>")).alias("reviewer_name"),
-        element_text(_inside(body, r'<span\b[^>]*data-hook="helpful-vote-statement"[^>]*>', "</span>")).alias("helpful_text"),
-        element_text(_last_span(_inside(body, r'<a\b[^>]*data-hook="review-title"[^>]*>', "</a>"))).alias("title"),
-        element_text(_inside(body, r'<i\b[^>]*data-hook="review-star-rating"[^>]*>', "</i>")).alias("rating_text"),
-        element_text(_first_span(_inside(body, r'<div\b[^>]*data-hook="review-collapsed"[^>]*>', "</div>"))).alias("reviewText"),
-        element_text(_inside(body, r'<span\b[^>]*data-hook="review-date"[^>]*>', "</span>")).alias("date_text"),
-    )
+    def fields(pieces: Column) -> Column:
+        first = lambda e: first_element(pieces, e)
+        return F.struct(
+            text_of(first(Element("span", "class", "a-profile-name", "word"))).alias("reviewer_name"),
+            text_of(first(hook("span", "helpful-vote-statement"))).alias("helpful_text"),
+            text_of(last_element(first(hook("a", "review-title")), span)).alias("title"),
+            text_of(first(hook("i", "review-star-rating"))).alias("rating_text"),
+            text_of(first_element(first(hook("div", "review-collapsed")), span)).alias("reviewText"),
+            text_of(first(hook("span", "review-date"))).alias("date_text"),
+        )
+
+    keys = [c for c in blocks.columns if c not in ("opening", "body")]
+    review_id = parse_review_id(attribute(F.col("opening"), "id"))
+    # A list of one, taken apart again: what reads the fields later works on them, not on copies of how they are made.
+    made = F.explode_outer(F.array(let(pieces_of(F.col("body")), fields)))
+    return blocks.select(*keys, review_id.alias("review_id"), made.alias("f")).select(*keys, "review_id", "f.*")
 
 
 def parse_fields(raw: DataFrame) -> DataFrame:

@@ -232,6 +232,12 @@ def extract_blocks(spark, sf):
 _TRIMMED = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
 
 
+def _escaped(text):
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
 @query(
     "extract_reviews",
     f"""SELECT source AS asin, 'R' || doc_id AS review_id, lang AS reviewer_name, 'Title of ' || doc_id AS title, CAST(1 + doc_id % 5 AS DOUBLE) AS overall,
@@ -239,27 +245,63 @@ _TRIMMED = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)
 FROM documents WHERE doc_id % 7 <> 0""",
 )
 def extract_reviews(spark, sf):
-    """Product pages around the documents' texts, as a shop writes them; every seventh has no rating that can be read."""
-
-    def escaped(text):
-        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;")):
-            text = F.replace(text, F.lit(char), F.lit(name))
-        return text
-
+    """Product pages around the documents' texts, as a shop writes them: texts in nested elements, either kind of quotes, several
+    classes, and a footer with a date of its own; every seventh review has no rating that can be read."""
     i, n = F.col("doc_id").cast("string"), F.col("doc_id") % 4
     votes = F.when(n == 0, "").when(n == 1, "One person found this helpful").otherwise(F.concat(n.cast("string"), F.lit(" people found this helpful")))
     rating = F.when(F.col("doc_id") % 7 == 0, "no stars").otherwise(F.concat((1 + F.col("doc_id") % 5).cast("string"), F.lit(",0 out of 5 stars")))
+    half = F.floor(F.length("text") / 2).cast("int")
     html = F.format_string(
-        "<html><body><script>var a = '<div data-hook=\"review\">';</script><div id='customer_review-R%s' data-hook='review'>"
-        '<span class="a-profile-name">%s</span><a data-hook="review-title"><span>5</span><span>Title of %s</span></a>'
-        '<i data-hook="review-star-rating"><span>%s</span></i><span data-hook="review-date">Reviewed on March 5, 2024</span>'
-        '<div data-hook="review-collapsed"><span>%s</span><span>more</span></div><span data-hook="helpful-vote-statement">%s</span></div></body></html>',
-        i, F.col("lang"), i, rating, escaped(F.col("text")), votes,
+        "<html><body><script>var a = '<div data-hook=\"review\">';</script><div id='customer_review-R%s' data-hook='review'><div class=x>"
+        "<span class='a-profile-name y'>%s</span></div><a title='a > b' data-hook=\"review-title\"><span>5</span><span><b>Title</b> of %s</span></a>"
+        '<i data-hook="review-star-rating"><span>%s</span></i><span data-hook="review-date"><span>Reviewed</span> on March 5, 2024</span>'
+        '<div data-hook="review-collapsed"><span>%s<span class="z">%s</span></span><span>more</span></div><span data-hook="helpful-vote-statement">%s</span></div>'
+        '<div><span data-hook="review-date">Updated on May 5, 2020</span></div></body></html>',
+        i, F.col("lang"), i, rating, _escaped(F.substr("text", F.lit(1), half)), _escaped(F.substr("text", half + 1)), votes,
     )
     pages = t.table(spark, sf, "documents").select(F.col("source").alias("asin"), html.alias("html"))
     return extraction.extract_reviews(pages)[0].drop("scrape_time")
 
 
+@query(
+    "extract_undated_reviews",
+    """SELECT source AS asin, 'R' || doc_id AS review_id, lang AS reviewer_name,
+CASE WHEN doc_id % 3 = 0 THEN 'date' WHEN doc_id % 3 = 1 THEN 'title' ELSE 'rating' END AS reject_reason FROM documents""",
+)
+def extract_undated_reviews(spark, sf):
+    """Pages whose last review lacks a field that the page has again after it; none of these fills the gap."""
+    i = F.col("doc_id").cast("string")
+    date, title, rating = (F.when(F.col("doc_id") % 3 != k, part).otherwise("") for k, part in enumerate(
+        ('<span data-hook="review-date">on March 5, 2024</span>', '<a data-hook="review-title"><span>T</span></a>', '<i data-hook="review-star-rating">4.0 out of 5</i>')
+    ))
+    footer = '<div><span data-hook="review-date">on May 5, 2020</span><a data-hook="review-title"><span>No</span></a><i data-hook="review-star-rating">1.0 out of 5</i></div>'
+    html = F.format_string(
+        "<div id='customer_review-R%s' data-hook=review><span class=\"a-profile-name\">%s</span>%s%s%s"
+        f'<div data-hook="review-collapsed"><div><span>%s</span></div></div></div>{footer}',
+        i, F.col("lang"), date, title, rating, _escaped(F.col("text")),
+    )
+    pages = t.table(spark, sf, "documents").select(F.col("source").alias("asin"), html.alias("html"))
+    return extraction.extract_reviews(pages)[1].select("asin", "review_id", "reviewer_name", "reject_reason")
+
+
+@query(
+    "extract_card_links",
+    """SELECT source, doc_id, CAST(k AS INTEGER) AS pos, CASE k WHEN 0 THEN 'https://shop.example' ELSE 'https://other.example' END || '/dp/' || lang || doc_id || CASE k WHEN 0 THEN '/ref' ELSE '' END AS link,
+lang || doc_id AS id FROM documents, range(2) AS r(k) WHERE doc_id % 5 <> 0 OR k = 0""",
+)
+def extract_card_links(spark, sf):
+    """Lists of products: one link per card, the first to a product, whatever else is in the card, before the cards or after them."""
+    card, i = extraction.CARD, F.concat("lang", "doc_id")
+    second = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("<a href=https://other.example/dp/"), i, F.lit(">x</a>")))
+    html = F.format_string(
+        f"<a href='/dp/before/'>n</a><div class='{card}'><div><a href='/help'>h</a></div><div><a class=l href='/dp/%s/ref'><img alt='>'></a></div><a href='/dp/again/'>a</a></div>"
+        f"<div class=\"grid {card}\"><div>%s</div></div><div><a href='/dp/after/'>f</a></div>",
+        i, second,
+    )
+    pages = t.table(spark, sf, "documents").select("source", "doc_id", F.lit("https://shop.example/list").alias("url"), html.alias("html"))
+    return extraction.extract_links(pages, card=card).drop("url")
+
+
 @query(
     "extract_title",
     f"""WITH v AS (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS raw FROM pages)

@@ -23,9 +23,13 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows of ``df`` from a Parquet table in the shared folder: computed once, with no lineage behind it."""
+def stored(df: DataFrame, purpose: str, row_group: int | None = None) -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder: computed once, with no lineage behind it.
+
+    ``row_group`` is the size in bytes of what a task holds back before it writes, for wide rows made by a job that needs its memory.
+    """
     spark = df.sparkSession
     folder = new_folder(spark, purpose)
-    df.write.parquet(folder)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
