@@ -19,13 +19,16 @@ def training_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn(KEY, F.md5(F.concat_ws("\n", "reviewText", "summary").cast("binary")))
 
 
-def run_training(spark: SparkSession, path: str, report: str, model: str, **choice) -> modelling.Candidate:
+def run_training(spark: SparkSession, path: str, report: str, model: str, board: str | None = None, **choice) -> modelling.Candidate:
     """Trains on the file at ``path``, writes the winner's statistics on the test part to ``report``, and the winner to ``model``.
 
+    With ``board`` the candidates are written there, each with its validation figures or its error.
     ``choice`` goes to ``train_and_choose``. Splitting comes first, so neither training nor choosing sees the test part.
     """
-    best, _, test = modelling.train_and_choose(training_rows(spark, path), KEY, **choice)
+    best, candidates, test = modelling.train_and_choose(training_rows(spark, path), KEY, **choice)
     counts = metrics.confusion_counts(best.model.transform(test), "sentiment")
     metrics.model_statistics(counts).write.mode("overwrite").parquet(report)
+    if board:
+        modelling.leaderboard(spark, candidates, best).write.mode("overwrite").parquet(board)
     modelling.save_model(best.model, model)
     return best

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.labels import label_from_rating, sentiment_label
 from opinara.functions.text import clean_text
-from opinara.operators import aggregates, metrics, modelling, sampling, training
+from opinara.operators import aggregates, bayes, features, metrics, modelling, sampling, training
 from opinara.plans import tables as t
 from opinara.plans.registry import query
 from opinara.plans.text import TERM_COUNTS
@@ -256,6 +256,33 @@ def score_bayes(spark, sf):
     return _scored(spark, sf, _trained(spark, sf, "NaiveBayes"))
 
 
+def _bayes_tables(spark, sf):
+    return bayes.train_bayes(bayes.balanced_training(cleaned(rated(spark, sf)), "doc_id"), "doc_id")
+
+
+@query("score_bayes_tables", bayes_sql("tg AS (SELECT * FROM tf)", f"SELECT doc_id, sentiment, {LABEL_SQL} FROM best"))
+def score_bayes_tables(spark, sf):
+    """Scores of the model kept as tables, stored and loaded."""
+    path = new_folder(spark, "bayes")
+    _bayes_tables(spark, sf).save(path)
+    texts = t.texts(spark, sf).select("doc_id", clean_text(F.col("review_text")).alias("reviews"))
+    words = features.filtered_tokens(texts, "reviews").select("doc_id", "words")
+    scores = bayes.score_bayes(words, bayes.BayesTables.load(spark, path), "doc_id")
+    return scores.select("doc_id", "sentiment", sentiment_label(F.col("sentiment")).alias("sentiment_label"))
+
+
+@query(
+    "bayes_weights",
+    bayes_sql("tg AS (SELECT * FROM tf)", "SELECT idf.term, CAST(w.sentiment AS INTEGER) AS sentiment, round(idf, 9) AS idf, round(coalesce(ln(1 + s), 0), 6) AS weight "
+              "FROM idf CROSS JOIN w LEFT JOIN x ON idf.term = x.term AND w.sentiment = x.sentiment"),
+)
+def bayes_weights(spark, sf):
+    """The model itself: each term's weight in each class."""
+    model = _bayes_tables(spark, sf)
+    weights = F.inline(F.array(*[F.struct(F.lit(c).alias("sentiment"), F.col(f"w{c}").alias("w")) for c in bayes.CLASSES]))
+    return model.terms.select("term", F.round("idf", 9).alias("idf"), weights).withColumn("weight", F.round("w", 6)).drop("w")
+
+
 @query("saved_model_scores", "SELECT doc_id, true AS equal FROM documents")
 def saved_model_scores(spark, sf):
     """Whether a model gives the same scores after it was stored and loaded."""
@@ -284,13 +311,25 @@ def model_leaderboard(spark, sf):
     RD
     + f""", h AS (SELECT CASE WHEN overall = 3 THEN 'Neutral' WHEN overall IN (1, 2) THEN 'Negative' ELSE 'Positive' END AS class,
   {_hash_sql("split", "md5(review_text || chr(10) || summary)")} % 10 AS b FROM rd WHERE overall IS NOT NULL AND summary IS NOT NULL)
-SELECT c.class, (SELECT count(*) FROM h WHERE h.class = c.class AND b = 9) AS n FROM (VALUES ('Negative'), ('Neutral'), ('Positive')) c(class)""",
+SELECT c.class, (SELECT count(*) FROM h WHERE h.class = c.class AND b = 9) AS n, true AS in_range, CAST(3 AS BIGINT) AS candidates
+FROM (VALUES ('Negative'), ('Neutral'), ('Positive')) c(class)""",
 )
 def training_report(spark, sf):
-    """The training job over the rated documents as a file; from its written report, the test rows of each class."""
+    """The whole training job over the rated documents as a file, with all candidates, the regression's grid and its folds.
+
+    From what it has written: the test rows of each class, whether all overall figures are between 0 and 1 with the recall being the
+    accuracy, and how many candidates could be trained.
+    """
     folder = new_folder(spark, "training")
     rows = t.documents(spark, sf).where(F.col("overall").isNotNull())
     rows.select(F.col("review_text").alias("reviewText"), "summary", "overall").write.json(f"{folder}/reviews")
-    training.run_training(spark, f"{folder}/reviews", f"{folder}/report", f"{folder}/model", names=["NaiveBayes", "RandomForest"])
-    cells = spark.read.parquet(f"{folder}/report").where("scope = 'confusion'")
-    return cells.groupBy("class").agg(F.sum("value").cast("long").alias("n"))
+    training.run_training(spark, f"{folder}/reviews", f"{folder}/report", f"{folder}/model", f"{folder}/board", rows_per_task=1_000)
+    report = spark.read.parquet(f"{folder}/report")
+    overall = F.col("scope") == "overall"
+    figure = lambda name: F.max(F.when(overall & (F.col("metric") == name), F.col("value")))
+    ranges = report.agg(
+        (F.every(F.when(overall, F.col("value").between(0, 1))) & (F.abs(figure("recall") - figure("accuracy")) < 1e-9)).alias("in_range")
+    )
+    trained = spark.read.parquet(f"{folder}/board").agg(F.count_if(F.col("error").isNull()).alias("candidates"))
+    cells = report.where("scope = 'confusion'").groupBy("class").agg(F.sum("value").cast("long").alias("n"))
+    return cells.withColumns({"in_range": ranges.scalar(), "candidates": trained.scalar()})
