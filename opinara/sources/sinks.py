@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opinara.schema import EXPORT_COLUMNS, PERIOD, RESULT_TIME
+from opinara.workspace import names_in, remove
 
 _ROWS_PER_FILE = 50_000
 
@@ -73,6 +74,49 @@ def batch_folder(path: str) -> BatchSink:
     return write
 
 
+def tiered_batches(path: str, every: int = 10) -> BatchSink:
+    """Sink for ``foreachBatch``: a folder per batch, of which each ``every`` are put together into one, and so on.
+
+    A folder is named by its tier and its last batch: ``tier=0`` holds one batch, each higher tier ``every`` folders of the one below. So
+    after n batches there are about ``every`` folders for each power of ``every`` up to n, and each row is rewritten that
+    many times. Folders that a higher one holds are removed one batch later, so that a replayed batch finds what
+    it found first.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        for tier, last in _obsolete(_tiers(spark, path), every, before=batch_id):
+            remove(spark, f"{path}/tier={tier}/last={last}")
+        batch.write.mode("overwrite").parquet(f"{path}/tier=0/last={batch_id}")
+        tier, width = 1, every
+        while (batch_id + 1) % width == 0:
+            below = width // every
+            inside = [f"{path}/tier={tier - 1}/last={batch_id - below * k}" for k in range(every)]
+            spark.read.schema(batch.schema).parquet(*inside).write.mode("overwrite").parquet(f"{path}/tier={tier}/last={batch_id}")
+            tier, width = tier + 1, width * every
+
+    return write
+
+
+def _tiers(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(tier, last batch) of the finished folders."""
+    tiers = [int(n.split("=")[1]) for n in names_in(spark, path, finished=False) if n.startswith("tier=")]
+    return [(t, int(n.split("=")[1])) for t in tiers for n in names_in(spark, f"{path}/tier={t}")]
+
+
+def _obsolete(folders: list[tuple[int, int]], every: int, before: int | None = None) -> list[tuple[int, int]]:
+    """Folders whose batches a higher one holds, one that was made before the batch ``before``."""
+    held = [(t, last - every**t + 1, last) for t, last in folders if before is None or last < before]
+    return [(t, last) for t, last in folders if any(u > t and first <= last <= end for u, first, end in held)]
+
+
+def read_tiers(spark: SparkSession, path: str, every: int = 10) -> DataFrame:
+    """All rows that ``tiered_batches`` stored, each once."""
+    folders = _tiers(spark, path)
+    gone = set(_obsolete(folders, every))
+    return spark.read.parquet(*[f"{path}/tier={t}/last={last}" for t, last in sorted(folders) if (t, last) not in gone])
+
+
 def fan_out(*sinks: BatchSink) -> BatchSink:
     """Several sinks for one stream: the batch is computed once and kept while all of them write.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from opinara.operators.aggregates import category_counts, known_events
 from opinara.operators.ranking import dedup_latest
 from opinara.sources.sinks import BatchSink
+from opinara.workspace import names_in, remove
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -60,14 +61,21 @@ def versioned_rows(path: str, keys: list[str], every: int = 20) -> BatchSink:
     """Sink for update mode: the changed rows of each batch, and a snapshot of all rows after ``every`` batches.
 
     A snapshot is made of the one before it and the batches since, so reading never goes further back. Both kinds of
-    folders are named by batch, and a replay writes the same one again.
+    folders are named by batch, and a replay writes the same one again. After a snapshot, what came before the last
+    one is removed: a replay of this batch needs that one and the changes since, a reader the same, so no more than two snapshots and
+    twice ``every`` changes are there at a time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
         if (batch_id + 1) % every == 0:
-            rows = _rows_at(batch.sparkSession, path, keys, batch_id, every, batch_id - every)
+            spark = batch.sparkSession
+            rows = _rows_at(spark, path, keys, batch_id, every, batch_id - every)
             rows.write.mode("overwrite").parquet(f"{path}/snapshots/batch_id={batch_id}")
+            for kind, last in (("changes", batch_id - every), ("snapshots", batch_id - every - 1)):
+                for name in names_in(spark, f"{path}/{kind}"):
+                    if int(name.split("=")[1]) <= last:
+                        remove(spark, f"{path}/{kind}/{name}")
 
     return write
 
@@ -83,7 +91,7 @@ def _rows_at(spark: SparkSession, path: str, keys: list[str], last: int, every:
 
 def current_rows(spark: SparkSession, path: str, keys: list[str], every: int = 20) -> DataFrame:
     """The newest version of each row that ``versioned_rows`` stored: the last snapshot and the changes after it."""
-    last = spark.read.parquet(f"{path}/changes").agg(F.max("batch_id")).first()[0]
+    last = max(int(name.split("=")[1]) for name in names_in(spark, f"{path}/changes"))
     return _rows_at(spark, path, keys, last, every, (last + 1) // every * every - 1)
 
 

@@ -33,3 +33,24 @@ def stored(df: DataFrame, purpose: str, row_group: int | None = None) -> DataFra
     writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
     writer.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place, jvm
+
+
+def names_in(spark: SparkSession, folder: str, finished: bool = True) -> list[str]:
+    """Names of the folders in ``folder``, none if it isn't there; with ``finished`` only of those whose writer has succeeded."""
+    files, place, jvm = _file_system(spark, folder)
+    if not files.exists(place):
+        return []
+    inside = [s.getPath() for s in files.listStatus(place) if s.isDirectory()]
+    return [p.getName() for p in inside if not finished or files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder with all in it; one that isn't there is no error."""
+    files, place, _ = _file_system(spark, folder)
+    files.delete(place, True)
