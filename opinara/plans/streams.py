@@ -13,8 +13,9 @@ from opinara.plans.registry import query
 from opinara.plans.text import words_sql
 from opinara.schema import EXPORT_COLUMNS, REVIEW_SCHEMA
 from opinara.sources import readers, sinks
+from opinara.sources.keyed import KeyedTable
 from opinara.streaming import running, scoring
-from opinara.workspace import new_folder
+from opinara.workspace import names_in, new_folder
 
 RV = "WITH " + t.REVIEWS_SQL + "\n"
 RD = "WITH " + t.DOCUMENTS_SQL + "\n"
@@ -192,6 +193,69 @@ def stream_counters(spark, sf):
     return running.current_rows(spark, path, ["asin"])
 
 
+@query(
+    "stream_counters_retained",
+    EV + _EV_COUNTS + ", true AS few_folders FROM ev GROUP BY asin",
+)
+def stream_counters_retained(spark, sf):
+    """Counters over a stream of many batches: after all of them, and whether only those folders are left that reading and a replay need."""
+    every, folder = 3, new_folder(spark, "events-by-batch")
+    t.table(spark, sf, "events").repartition(11).write.parquet(folder)
+    files = readers.stream_files(spark, folder, t.table(spark, sf, "events").schema, maxFilesPerTrigger=1)
+    counters = running.running_counters(t.as_events(files))
+    path = _stored(spark, counters, "retained-counters", "update", lambda p: running.versioned_rows(p, ["asin"], every))
+    few = len(names_in(spark, f"{path}/changes")) <= 2 * every and len(names_in(spark, f"{path}/snapshots")) <= 2
+    return running.current_rows(spark, path, ["asin"], every).withColumn("few_folders", F.lit(few))
+
+
+@query(
+    "stream_sink_tiers",
+    "SELECT event_id, ts, 'U' || user_id AS asin FROM events",
+)
+def stream_sink_tiers(spark, sf):
+    """Rows of a stream of many batches, from folders that are put together as they grow in number."""
+    folder = new_folder(spark, "events-by-batch")
+    t.table(spark, sf, "events").repartition(11).write.parquet(folder)
+    rows = readers.stream_files(spark, folder, t.table(spark, sf, "events").schema, maxFilesPerTrigger=1)
+    rows = rows.select("event_id", "ts", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("asin"))
+    path = _stored(spark, rows, "tiers", sink=lambda p: sinks.tiered_batches(p, every=3))
+    return sinks.read_tiers(spark, path, every=3)
+
+
+def _upserted(spark, sf):
+    """Reviews arriving in four batches by year, one of them twice; the first two are compacted, the others are deltas still."""
+    facts = t.facts_only(spark, sf)
+    table = KeyedTable(spark, new_folder(spark, "keyed-reviews"), ["review_id"], "review_ts", buckets=8)
+    for i in (0, 1, 2, 2, 3):
+        table.upsert(facts.where(F.year("review_ts") % 4 == i), i)
+        if i == 1:
+            table.compact()
+            table.clean(keep=1)
+    return table
+
+
+@query(
+    "upsert_reviews",
+    RV
+    + f"""SELECT {FACTS} FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY review_ts DESC, asin, overall, ord_hint) AS k
+FROM rv) WHERE k = 1""",
+)
+def upsert_reviews(spark, sf):
+    return _upserted(spark, sf).read().select(*t.FACT_COLUMNS)
+
+
+@query(
+    "upsert_find",
+    RV + f"SELECT {FACTS} FROM rv WHERE review_id = '7-1' ORDER BY review_ts DESC, asin, overall, ord_hint LIMIT 1",
+)
+def upsert_find(spark, sf):
+    """One review by its key, from its bucket only, after all is compacted."""
+    table = _upserted(spark, sf)
+    table.compact()
+    table.clean(keep=1)
+    return table.find("7-1").select(*t.FACT_COLUMNS)
+
+
 @query("stream_top", EV + _EV_COUNTS + ", count(*) AS total FROM ev GROUP BY asin ORDER BY total DESC, asin LIMIT 5")
 def stream_top(spark, sf):
     totals = _counters(spark, sf).withColumn("total", aggregates.total_of_counts())
