@@ -19,6 +19,12 @@ def test_equals_the_article(spark, sf_dir):
     assert got == {r.page_id: (article(r.html), len(article(r.html))) for r in pages.collect()}
 
 
+def test_equals_the_article_without_its_mark(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    for r in pages:
+        assert main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == article(r.html)
+
+
 PROSE = "<p>" + "plain prose that goes on for a while " * 8 + "</p>"
 LINE = ("plain prose that goes on for a while " * 8).strip()
 
@@ -76,3 +82,34 @@ def test_text_outside_the_mark(page, text):
 )
 def test_nothing_else_is_dropped(page, text):
     assert main_text(page) == text
+
+
+THREE = "\n".join([LINE] * 3)
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<div class='content has-sidebar'>", "</div>"),
+        ("<div class='post no-comments'>", "</div>"),
+        ("<div class='elementor-widget elementor-widget-theme-post-content'>", "</div>"),
+        ("<form id='aspnetForm'>", "</form>"),
+        ("<article><div class='article-body widget'>", "</div></article>"),
+        ("<nav><a href=x>Home</a><div>", "</div>"),
+        ("<div class=widget><div class='inner widget-body'>", "</div></div>"),
+        ("<div class='page comments-open'><h1></h1>", "</div>"),
+        ("<div class=paywall>", "</div><div class=sidebar><p>" + "other things here " * 9 + "</p></div>"),
+    ],
+)
+def test_marks_around_the_article(before, after):
+    for start, end in (("", ""), ("<html><body><nav><a href=y>menu</a></nav>", "<footer>About us</footer></body></html>")):
+        assert main_text(start + before + PROSE * 3 + after + end) == THREE
+
+
+def test_marks_beside_the_article():
+    around = "<form><p>Sign up for our letters and get them every week, by mail or on paper, wherever you may live and read</p><input></form>"
+    around += "<div class=comments>" + PROSE.replace("plain", "a reader's") * 2 + "</div><div class='sidebar widget'>" + PROSE.replace("plain", "side") + "</div>"
+    assert main_text("<div>" + PROSE * 3 + "</div>" + around) == THREE
+    assert main_text("<div class='post has-comments'>" + PROSE * 3 + around + "</div>") == THREE
+    assert main_text("<div>" + PROSE * 3 + "</div><footer><p>" + "legal words " * 20) == THREE
+    assert main_text("<div class=comments>" + PROSE + "</div>") == ""
