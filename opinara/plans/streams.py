@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinara.functions.labels import canonical_category
-from opinara.operators import aggregates, filters, modelling
+from opinara.operators import aggregates, filters, modelling, rollup
 from opinara.plans import learning
 from opinara.plans import tables as t
 from opinara.plans.registry import query
@@ -256,6 +256,45 @@ def upsert_find(spark, sf):
     return table.find("7-1").select(*t.FACT_COLUMNS)
 
 
+_COUNTS = "count(*) FILTER (sentiment = 2) AS positive, count(*) FILTER (sentiment = 1) AS neutral, count(*) FILTER (sentiment = 0) AS negative"
+
+
+def _rolled_up(spark, sf):
+    """Titled reviews arriving in seven batches, by hash, and the counts kept up with them."""
+    results = t.titled(spark, sf).select("review_id", "asin", "sentiment", "sentiment_label", "review_ts", "title")
+    path = new_folder(spark, "rollup")
+    write = rollup.rollup_sink(path, every=3)
+    for i in range(7):
+        write(results.where(F.pmod(F.hash("review_id"), F.lit(7)) == i), i)
+    return rollup.read_rollup(spark, path, every=3), results
+
+
+@query(
+    "rollup_product_counters",
+    RV
+    + f"""SELECT asin, {_COUNTS}, min(review_ts) AS first_seen, arg_min(coalesce(nullif(title, ''), 'Product ' || asin), (review_ts, coalesce(nullif(title, ''), 'Product ' || asin))) AS title
+FROM rv GROUP BY asin""",
+)
+def rollup_product_counters(spark, sf):
+    return rollup.rolled_counters(_rolled_up(spark, sf)[0])
+
+
+@query(
+    "rollup_dashboard",
+    RV
+    + f"""SELECT 'product' AS shown, {_COUNTS}, count(*) AS total FROM rv WHERE asin = 'P7' AND sentiment = 2 AND review_ts >= (SELECT max(review_ts) FROM rv) - INTERVAL 90 DAY
+UNION ALL SELECT 'range', {_COUNTS}, count(*) FROM rv WHERE review_ts >= (SELECT max(review_ts) FROM rv) - INTERVAL 30 DAY
+UNION ALL SELECT 'all', {_COUNTS}, count(*) FROM rv""",
+)
+def rollup_dashboard(spark, sf):
+    """The dashboard's counts under three filters, from the counts kept up."""
+    rolled, results = _rolled_up(spark, sf)
+    now = filters.latest_time(t.facts_only(spark, sf))
+    shown = {"product": {"product": "P7", "sentiment": "positive", "time_range": "last-90d"}, "range": {"time_range": "30d"}, "all": {}}
+    rows = [rollup.rolled_stats(rolled, results, now, **given).select(F.lit(name).alias("shown"), "*") for name, given in shown.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("stream_top", EV + _EV_COUNTS + ", count(*) AS total FROM ev GROUP BY asin ORDER BY total DESC, asin LIMIT 5")
 def stream_top(spark, sf):
     totals = _counters(spark, sf).withColumn("total", aggregates.total_of_counts())

@@ -74,12 +74,12 @@ def batch_folder(path: str) -> BatchSink:
     return write
 
 
-def tiered_batches(path: str, every: int = 10) -> BatchSink:
+def tiered_batches(path: str, every: int = 10, combine: Callable[[DataFrame], DataFrame] | None = None) -> BatchSink:
     """Sink for ``foreachBatch``: a folder per batch, of which each ``every`` are put together into one, and so on.
 
     A folder is named by its tier and its last batch: ``tier=0`` holds one batch, each higher tier ``every`` folders of the one below. So
     after n batches there are about ``every`` folders for each power of ``every`` up to n, and each row is rewritten that
-    many times. Folders that a higher one holds are removed one batch later, so that a replayed batch finds what
+    many times, or with ``combine``, what that makes of the rows put together. Folders that a higher one holds are removed one batch later, so that a replayed batch finds what
     it found first.
     """
 
@@ -92,7 +92,8 @@ def tiered_batches(path: str, every: int = 10) -> BatchSink:
         while (batch_id + 1) % width == 0:
             below = width // every
             inside = [f"{path}/tier={tier - 1}/last={batch_id - below * k}" for k in range(every)]
-            spark.read.schema(batch.schema).parquet(*inside).write.mode("overwrite").parquet(f"{path}/tier={tier}/last={batch_id}")
+            rows = spark.read.schema(batch.schema).parquet(*inside)
+            (combine(rows) if combine else rows).write.mode("overwrite").parquet(f"{path}/tier={tier}/last={batch_id}")
             tier, width = tier + 1, width * every
 
     return write
