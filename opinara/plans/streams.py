@@ -14,7 +14,7 @@ from opinara.plans.text import words_sql
 from opinara.schema import EXPORT_COLUMNS, REVIEW_SCHEMA
 from opinara.sources import readers, sinks
 from opinara.sources.keyed import KeyedTable
-from opinara.streaming import running, scoring
+from opinara.streaming import running, scoring, versions
 from opinara.workspace import names_in, new_folder
 
 RV = "WITH " + t.REVIEWS_SQL + "\n"
@@ -295,6 +295,47 @@ def rollup_dashboard(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query("stream_hourly_late", EV + "SELECT date_trunc('hour', ts) AS hour, category, count(*) AS n, true AS some_late FROM ev GROUP BY 1, 2")
+def stream_hourly_late(spark, sf):
+    """Hourly counts over batches that bring old rows: those on time and the late ones kept apart are together all rows."""
+    folder = new_folder(spark, "events-by-batch")
+    t.table(spark, sf, "events").repartition(6, "event_id").write.parquet(folder)
+    files = readers.stream_files(spark, folder, t.table(spark, sf, "events").schema, maxFilesPerTrigger=1)
+    path = _stored(spark, t.as_events(files), "hourly-late", sink=lambda p: running.hourly_sink(p, every=3))
+    late = running.late_rows(spark, path)
+    some = not late.isEmpty()
+    counted = late.groupBy(F.date_trunc("hour", "ts").alias("hour"), "category").agg(F.count(F.lit(1)).alias("n"))
+    both = running.hours_so_far(spark, path, every=3).unionByName(counted).groupBy("hour", "category").agg(F.sum("n").alias("n"))
+    return _ntz(both, "hour").withColumn("some_late", F.lit(some))
+
+
+@query(
+    "stream_scores_by_version",
+    """SELECT CAST(doc_id AS VARCHAR) AS "reviewerID", CAST(doc_id % 2 AS INTEGER) AS model_version, true AS as_in_batch FROM documents WHERE text IS NOT NULL""",
+)
+def stream_scores_by_version(spark, sf):
+    """Documents on a stream, the odd ones after a second model was published: each is scored as that version scores it in a batch."""
+    rows = learning.cleaned(learning.rated(spark, sf))
+    store = versions.ModelStore(spark, new_folder(spark, "models"))
+    topic, folder = new_folder(spark, "topic"), new_folder(spark, "versions")
+    records = t.documents(spark, sf).select(F.col("doc_id").cast("string").alias("reviewerID"), F.col("review_text").alias("reviewText"), "summary")
+    keep = ["reviewerID", "reviewText", "summary"]
+    score = lambda batch, model: scoring.scored(batch, model, keep)
+    with running.state_on_disk(spark):
+        for odd, part in enumerate((rows, rows.where("sentiment < 2"))):
+            store.publish(modelling.fit(modelling.classifiers()["NaiveBayes"], part))
+            records.where(F.col("reviewerID").cast("long") % 2 == odd).coalesce(1).write.mode("append").parquet(topic)
+            stream = scoring.prepare_scoring(readers.stream_files(spark, topic, records.schema))
+            sinks.run_available(stream, versions.versioned_scores(store, folder, score), f"{folder}/checkpoint", folder.rsplit("/", 1)[1])
+    streamed = spark.read.parquet(f"{folder}/rows").select("reviewerID", "model_version", "sentiment")
+    expected = None
+    for version in (0, 1):
+        batch = score(scoring.prepare_scoring(records.where(F.col("reviewerID").cast("long") % 2 == version)), store.load(version))
+        batch = batch.select("reviewerID", F.col("sentiment").alias("alone"))
+        expected = batch if expected is None else expected.unionByName(batch)
+    return streamed.join(expected, "reviewerID").select("reviewerID", "model_version", F.col("sentiment").eqNullSafe(F.col("alone")).alias("as_in_batch"))
+
+
 @query("stream_top", EV + _EV_COUNTS + ", count(*) AS total FROM ev GROUP BY asin ORDER BY total DESC, asin LIMIT 5")
 def stream_top(spark, sf):
     totals = _counters(spark, sf).withColumn("total", aggregates.total_of_counts())

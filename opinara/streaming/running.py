@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from opinara.operators.aggregates import category_counts, known_events
 from opinara.operators.ranking import dedup_latest
-from opinara.sources.sinks import BatchSink
+from opinara.sources.sinks import BatchSink, read_tiers, tiered_batches
 from opinara.workspace import names_in, remove
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -39,7 +39,7 @@ def running_counters(events: DataFrame) -> DataFrame:
 
 
 def hourly_counts(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Events per hour and category. Rows later than ``delay`` behind the newest are left out.
+    """Events per hour and category. Rows later than ``delay`` behind the newest are left out; ``hourly_sink`` keeps them apart.
 
     Append mode emits an hour once it is complete, update mode whenever its count changes.
     """
@@ -52,6 +52,47 @@ def hourly_counts(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> D
     )
 
 
+def hourly_sink(path: str, ts: str = "ts", delay: str = "1 hour", every: int = 10) -> BatchSink:
+    """Sink for ``foreachBatch`` over events: counts per hour and category below ``path/hours``, and rows that come too late below ``path/late``.
+
+    An hour is closed for a batch when it ended ``delay`` or more before the newest event of the batches before it, as with a
+    watermark. Its late rows are kept whole, a folder per batch, and not counted, so that hours once closed stay as they are; nothing is lost, on time and
+    late rows are all rows. What batches have counted is put together in tiers. Rows without a time are on time, in an hour of their own.
+    """
+    hour = F.date_trunc("hour", ts)
+    add = lambda rows: rows.groupBy("hour", "category").agg(F.sum("n").alias("n"))
+    count = tiered_batches(f"{path}/hours", every, combine=add)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, marks = batch.sparkSession, f"{path}/marks"
+        seen = spark.read.parquet(f"{marks}/batch_id={batch_id - 1}").first()[0] if batch_id else None
+        closed = F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(hour + F.expr("INTERVAL 1 HOUR") <= closed, F.lit(False))
+        events = known_events(batch).persist()
+        try:
+            events.where(late).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+            count(events.where(~late).groupBy(hour.alias("hour"), "category").agg(F.count(F.lit(1)).alias("n")), batch_id)
+            newest = events.agg(F.greatest(F.max(ts).cast("timestamp"), F.lit(seen).cast("timestamp")).alias("seen"))
+            newest.coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+        finally:
+            events.unpersist()
+        for name in names_in(spark, marks):
+            if int(name.split("=")[1]) < batch_id - 1:
+                remove(spark, f"{marks}/{name}")
+
+    return write
+
+
+def hours_so_far(spark: SparkSession, path: str, every: int = 10) -> DataFrame:
+    """``hour, category, n`` of the rows that came on time."""
+    return read_tiers(spark, f"{path}/hours", every).groupBy("hour", "category").agg(F.sum("n").alias("n"))
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The events that came too late, with the batch that brought them."""
+    return spark.read.parquet(f"{path}/late")
+
+
 def drop_redelivered(records: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
     """Drops records whose key came within ``delay`` before."""
     return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
