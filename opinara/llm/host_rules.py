@@ -19,6 +19,8 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: A host is rejected when its failure rate, less two standard deviations, is above this.
 MOST_FAILED, DEVIATIONS = 0.5, 2.0
+#: Bytes of documents a task holds back while it measures others.
+ROW_GROUP = 16 << 20
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -129,11 +131,14 @@ def judge_documents(df: DataFrame, text: str = "text", host: str = "source") ->
 def keep_documents(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``df`` that pass, with all their columns.
 
-    One pass over the texts counts the failures by host, a second one drops the rows; no text is shuffled.
+    The texts are measured once: the rows are written with their verdict, those that fail without their text, and
+    both the counts by host and the rows that pass come from that table. No text is shuffled.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    failed = "__failed"
     m = measures(F.col(f"`{text}`"))
-    counts = df.select(F.col(f"`{host}`").alias("host"), base_failed(m["n_words"], m["n_repeat_words"]).alias("base_failed"))
-    passed = df.where(~let(m, lambda x: base_failed(x["n_words"], x["n_repeat_words"])))
-    judged = _verdicts(passed, host_rates(counts, "host"), host)
-    return judged.where(F.col("__rejected").isNull()).select(*columns)
+    flagged = df.select(*[F.col(f"`{c}`") for c in df.columns], let(m, lambda x: base_failed(x["n_words"], x["n_repeat_words"])).alias(failed))
+    body = F.when(~F.col(failed), F.col(f"`{text}`")).alias(text)
+    flagged = stored(flagged.select(*[body if c == text else F.col(f"`{c}`") for c in flagged.columns]), "flagged-documents", row_group=ROW_GROUP)
+    counts = flagged.select(F.col(f"`{host}`").alias("host"), F.col(failed).alias("base_failed"))
+    judged = _verdicts(flagged.where(~F.col(failed)), host_rates(counts, "host"), host)
+    return judged.where(F.col("__rejected").isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
