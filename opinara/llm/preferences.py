@@ -17,14 +17,16 @@ def collect_turns(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
     Turns with the same number stand in the order of role and text; rows repeated in full count
     once, before the shuffle already. A null role counts as ``unknown``, a null text as empty; a null turn
-    comes first. Rows with a null key are one conversation.
+    comes first. Rows with a null key belong to no conversation that is known: each different one of them is a conversation of its own, with a null key.
     """
     row = F.struct(
         F.col(f"`{turn}`").alias("turn"),
         F.coalesce(F.col(f"`{role}`"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
-    return df.groupBy(F.col(f"`{key}`").alias(key)).agg(F.array_sort(F.collect_set(row)).alias("turns"))
+    name = F.col(f"`{key}`")
+    alone = F.when(name.isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in (turn, role, text)])).alias("__alone")
+    return df.groupBy(name.alias(key), alone).agg(F.array_sort(F.collect_set(row)).alias("turns")).drop("__alone")
 
 
 def common_turns(a: Column, b: Column) -> Column:

@@ -44,6 +44,8 @@ def test_collecting_and_edges(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"turns": F.lit(1), "prompt": F.lit(1)})
     got = {r.conv_id: [tuple(t) for t in r.turns] for r in preferences.collect_turns(df).collect()}
     assert got == {1: [(1, "user", "A"), (1, "user", "a"), (2, "assistant", "b")], 2: [(None, "unknown", "")], None: [(0, "user", "x")]}
+    unnamed = df.where("conv_id IS NULL").union(df.where("conv_id = 1").withColumn("conv_id", F.lit(None).cast("long")))
+    assert sorted(len(r.turns) for r in preferences.collect_turns(unnamed).collect()) == [1, 1, 1, 1]
     none = spark.createDataFrame([(1, None, None)], f"prompt long, chosen {TURNS}, rejected {TURNS}")
     assert [tuple(r) for r in preferences.format_pairs(none).collect()] == [(0, "", "", "", "", "")]
     assert preferences.format_pairs(none.limit(0)).count() == 0
