@@ -122,12 +122,14 @@ def row_polarity(words: Column, lexicon: list[tuple[str, float]]) -> Column:
 def feature_table(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Cleaned text with polarity, length and word count, next to the class.
 
-    With a lexicon of at most ``IN_ROW`` words the polarity is found within the row, and the texts are neither shuffled nor
+    A word that the lexicon repeats has the mean of its polarities. With a lexicon of at most ``IN_ROW`` words the polarity is found within the row, and the texts are neither shuffled nor
     read again. A longer one is joined by word, and the cleaned texts, written once, by key.
     """
     cleaned = df.select(key, clean_text(F.col(text)).alias("reviews"), "sentiment")
     words = tokens(F.col("reviews"))
-    known = lexicon.select("word", "polarity").limit(IN_ROW + 1).collect()
+    # One polarity per word, so that both ways agree on a lexicon that repeats one.
+    lexicon = lexicon.groupBy("word").agg(F.avg("polarity").alias("polarity"))
+    known = lexicon.limit(IN_ROW + 1).collect()
     if len(known) <= IN_ROW:
         scored = cleaned.withColumn("polarity", row_polarity(words, [tuple(r) for r in known if r["polarity"] is not None]))
     else:

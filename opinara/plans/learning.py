@@ -283,6 +283,13 @@ def bayes_weights(spark, sf):
     return model.terms.select("term", F.round("idf", 9).alias("idf"), weights).withColumn("weight", F.round("w", 6)).drop("w")
 
 
+@query("pipeline_scores", bayes_sql("tg AS (SELECT * FROM tf)", f"SELECT doc_id, sentiment, {LABEL_SQL} FROM best"))
+def pipeline_scores(spark, sf):
+    """Scores of a whole pipeline fitted as one, from text to prediction."""
+    train, _, _ = modelling.balanced_splits(cleaned(rated(spark, sf)), "doc_id")
+    return _scored(spark, sf, modelling.pipeline("NaiveBayes").fit(train))
+
+
 @query("saved_model_scores", "SELECT doc_id, true AS equal FROM documents")
 def saved_model_scores(spark, sf):
     """Whether a model gives the same scores after it was stored and loaded."""

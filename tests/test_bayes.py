@@ -55,3 +55,14 @@ def test_edges(spark):
     assert [r.sentiment for r in bayes.score_bayes(texts.where("k = 1"), nothing, "k").collect()] == [None]
     assert bayes.score_bayes(texts.limit(0), model, "k").count() == 0
     assert model.classes.where(F.col("sentiment") == 1).count() == 0
+
+
+def test_repeated_words_of_a_lexicon(spark, monkeypatch):
+    from opinara.operators import features
+
+    docs = spark.createDataFrame([(1, "good bad good"), (2, "bad"), (3, "none")], "k int, t string").withColumn("sentiment", F.lit(1))
+    lexicon = spark.createDataFrame([("good", 1.0), ("good", 0.5), ("bad", -1.0), ("none", None)], "word string, polarity double")
+    rows = lambda: {r.k: round(r.polarity, 6) for r in features.feature_table(docs, "k", "t", lexicon).collect()}
+    few = rows()
+    monkeypatch.setattr(features, "IN_ROW", 1)
+    assert few == rows() == {1: round((0.75 + 0.75 - 1) / 3, 6), 2: -1.0, 3: 0.0}

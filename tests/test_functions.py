@@ -20,6 +20,7 @@ from opinara.plans import text as text_queries
 EDGE = "Héllo1 wörld [a\nb] <i>x</i>> http://a.b/c?d=1 www.x.com né2é ٣abc $+<=>^~ end"
 
 
+# The patterns of the cleaning steps, in their order.
 def python_clean(text):
     text = str(text).lower()
     for pattern in (
