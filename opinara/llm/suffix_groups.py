@@ -28,8 +28,8 @@ from opinara.workspace import stored
 LENGTH, ANCHOR = 200, 32
 #: Bytes whose anchors are looked for together; a longer text is cut where a chunk may be cut.
 TOGETHER = 1 << 20
-#: Chunks in a bucket that one task scans, and offsets in a part of a larger one.
-MOST, SPAN = 400, 13
+#: Chunks in a bucket that one task scans, and offsets in the parts of a larger one, from round to round.
+MOST, SPANS = 400, (43, 11, 3, 1)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -205,11 +205,13 @@ def _split(units: DataFrame, span: int, length: int) -> DataFrame:
             for r in batch.to_pylist():
                 before, after, low, high = r["before"], r["after"], r["least"], r["most"]
                 for x in range(low - low % span, high + 1, span):
-                    # What strings at the offsets x to y share; a single offset's string as a whole.
+                    # What strings at the offsets x to x + span - 1 share; a single offset's string as a whole.
                     core = before[:x][::-1] + after[: length - (x + span - 1)]
                     a, b = max(x, low), min(x + span - 1, high)
+                    back, ahead = before[:b], after[: length - a]
                     name = r["bucket"][:8] + x.to_bytes(4, "little") + span.to_bytes(2, "little") + xxhash.xxh3_128_digest(core)
-                    rows.append(r | {"bucket": name, "least": a, "most": b, "before": before[:b] if span > 1 else b"", "after": after[: length - a] if span > 1 else b""})
+                    part = xxhash.xxh3_64_intdigest(back[::-1] + ahead, seed=b) - (1 << 63)
+                    rows.append(r | {"bucket": name, "chunk": part, "least": a, "most": b, "before": back, "after": ahead})
             yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
     return units.mapInArrow(cut, units.schema)
@@ -253,23 +255,23 @@ def _scan(units: DataFrame, length: int) -> DataFrame:
 
 def _in_parts(df: DataFrame, open_chunks: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """The spans of repeats in chunks found once that share their anchor with others."""
-    units = stored(_around(df, open_chunks, key, text, length), "suffixes")
-    found = []
-    for span in (SPAN, 1, 0):
+    units, found = stored(_around(df, open_chunks, key, text, length), "suffixes"), []
+    for span in SPANS:
         # Buckets by size: alone there is nothing to compare, too many are split.
         sizes = units.groupBy(F.col("bucket").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("a"), F.max("chunk").alias("b"), F.max("single").alias("any"))
         sizes = stored(sizes.where("a <> b AND any").select("of", "n"), "bucket-sizes")
         met = units.join(sizes, F.col("bucket") == F.col("of"))
-        if not span:
-            # Strings at one offset: all in a bucket are equal.
-            same = met.where("single").select("key", "hash", (F.col("at") - F.col("least")).alias("begin"), (F.col("at") - F.col("least") + length).alias("end"))
-            found.append(same)
-            break
         found.append(_scan(met.where(F.col("n") <= MOST).drop("of", "n"), length))
-        large = met.where(F.col("n") > MOST).drop("of", "n")
         if sizes.where(F.col("n") > MOST).isEmpty():
             break
-        units = stored(_split(large, span, length), "split-suffixes")
+        parts = stored(_split(met.where(F.col("n") > MOST).drop("of", "n"), span, length), "split-suffixes")
+        # Equal parts repeat as a whole, as equal chunks do; each of the others goes on, with one of the equal ones to meet.
+        one = F.any_value(F.struct(*[c for c in parts.columns if c not in ("bucket", "chunk")])).alias("one")
+        kinds = stored(parts.groupBy("bucket", "chunk").agg(one, F.count(F.lit(1)).alias("n")), "kinds-of-parts")
+        twice = kinds.where("n > 1").select(F.col("bucket").alias("of"), F.col("chunk").alias("in"))
+        equal = parts.where("single").join(twice, (F.col("bucket") == F.col("of")) & (F.col("chunk") == F.col("in")))
+        found.append(equal.select("key", "hash", (F.col("at") - F.col("most")).alias("begin"), (F.col("at") - F.col("least") + length).alias("end")))
+        units = kinds.select("bucket", "chunk", "n", "one.*").withColumn("single", F.col("single") & (F.col("n") == 1)).select(*parts.columns)
     spans = found[0]
     for more in found[1:]:
         spans = spans.union(more)
