@@ -8,6 +8,7 @@ as its lengths last. Each piece takes its place by its rank among the pieces of
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,35 +23,49 @@ from pyspark.sql import types as T
 from opinara.llm.shared import WordMemory
 from opinara.workspace import stored
 
-#: Words whose identifiers a worker remembers.
-REMEMBERED = 800_000
+#: Stems whose identifiers a worker remembers; it remembers half as many words as they are written.
+REMEMBERED = 600_000
 _FIRST = (1 << 33) - 1
 
 
+#: Latin letters that change neither in normalising nor, but for their case, in folding; marks after them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_STEM = re.compile(rf"([{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+
+
 @lru_cache(maxsize=2)
 def _memory(path: str) -> WordMemory:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
+    model, cut = tokenizer.model, tokenizer.pre_tokenizer
+    stems: dict[str, bytes] = {}
+    # How each letter's bytes are written for the merges.
+    letters: dict[str, str] = {}
+
+    def of_stem(stem: str) -> bytes:
+        """Identifiers of letters in lower case, which cutting leaves in one piece, so that the merges can take them as they are."""
+        if stem in stems:
+            return stems[stem]
+        for c in stem:
+            if c not in letters:
+                letters[c] = "".join(piece for piece, _ in cut.pre_tokenize_str(c))
+        made = np.array([t.id for t in model.tokenize("".join(map(letters.__getitem__, stem)))], dtype="<u4").tobytes()
+        if len(stems) < REMEMBERED and len(stem) <= 40:
+            stems[stem] = made
+        return made
 
     def made(word: str) -> bytes:
         """Identifiers as unsigned little-endian 32-bit numbers.
 
-        The vocabulary cuts marks off letters and has no capitals, so a plain word with a comma or full stop is made of the two.
-        Normalising and cutting leave a word of lower-case ASCII letters alone, so the merges take it as it stands.
+        The vocabulary cuts marks off letters and has no capitals, so letters with marks after them are made of the two.
         """
-        if word.isascii() and word.isalpha() and word.islower():
-            return np.array([t.id for t in model.tokenize(word)], dtype="<u4").tobytes()
-        if word[-1] in ".,":
-            stem = word[:-1]
-            if stem.isalpha() and stem.isascii():
-                return memory[stem] + memory[word[-1]]
-        elif not word.islower() and word.isalpha() and word.isascii():
-            return memory[word.lower()]
+        parts = _STEM.fullmatch(word)
+        if parts:
+            return of_stem(parts[1].lower()) + (memory[parts[2]] if parts[2] else b"")
         return np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    memory = WordMemory(made, REMEMBERED)
+    memory = WordMemory(made, REMEMBERED // 2)
     return memory
 
 
