@@ -1,4 +1,5 @@
 import random
+import time
 
 from opinara.llm import line_windows
 
@@ -52,3 +53,13 @@ def test_edges(spark, edge_docs):
     assert sorted(r.text for r in line_windows.dedup_lines(same_id).collect()) in (["a\nb\nc", "d"], ["", "a\nb\nc\nd"])
     many = spark.createDataFrame([(1, "\n".join(f"x{i % 70_000}" for i in range(100_000)))], "doc_id long, text string")
     assert line_windows.dedup_lines(many).first().n_removed == 30_000
+
+
+def test_time_in_proportion_to_the_lines(spark):
+    seconds = []
+    for n in (10_000, 10_000, 40_000):
+        df = spark.createDataFrame([(1, "\n".join(f"x{i % (n * 7 // 10)}" for i in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert line_windows.dedup_lines(df).first().n_removed == n * 3 // 10
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 8 * seconds[1]
