@@ -84,6 +84,7 @@ def _memory() -> WordMemory:
 
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(WINDOW)], dtype=np.uint64)
 _NUMBER, _UNIT = _hash(NUMBER), _hash(UNIT)
+_SLOTS = np.array([_hash(x) for x in (NUMBER, NAME, UNIT)], dtype=np.int64).view(np.uint64)
 #: What a unit's hash can be before the word in front of it is known.
 _MAY_BE_UNIT = np.array([_hash(folded(u)) for u in sorted(UNITS)], dtype=np.int64)
 
@@ -115,10 +116,21 @@ class Sought:
         return self.table[self._slot(hashes)]
 
 
+def _values(texts: list[str | None], ends: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the words as they are, for the texts that have windows at ``at``; zero for others."""
+    found = np.zeros(n, np.uint64)
+    for i in np.unique(np.searchsorted(ends, at, side="right")):
+        own = np.frombuffer(_hashes([w.casefold() for w in words_of(texts[i])]), np.uint64)
+        found[ends[i] - len(own) : ends[i]] = own
+    return found
+
+
 def window_hashes(texts: list[str | None], widths: list[int], sought: Sought | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """For each width and template: the texts, the places (from 0) and the hashes of windows, and the width.
 
-    A window without capitals is the same in both templates and is given once. With ``sought`` only windows that may be in it are given.
+    A window without capitals is the same in both templates and is given once. One of placeholders alone is no sign of an item, since any
+    names in a row would be: it is given in the second template only, and one of numbers and units alone with
+    its numbers as they are. With ``sought`` only windows that may be in it are given.
     """
     each = list(map(template_hashes, texts))
     sizes = [len(x) for x in each]
@@ -126,16 +138,25 @@ def window_hashes(texts: list[str | None], widths: list[int], sought: Sought | N
     ends, n = np.cumsum(sizes), len(words) - WINDOW
     left = np.repeat(ends, sizes) - np.arange(n)
     starts, typed, kept = ends - sizes, np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
+    slots = np.concatenate([[0], np.cumsum(np.isin(typed, _SLOTS))])
     found = []
+
+    def rolled(kind: np.ndarray, width: int) -> np.ndarray:
+        row = np.full(n, width, dtype=np.uint64)
+        for k in range(width):
+            row += kind[k : k + n] * _FACTORS[k]
+        return row
+
     for width in widths:
-        rows = []
-        for kind in (typed, kept):
-            row = np.full(n, width, dtype=np.uint64)
-            for k in range(width):
-                row += kind[k : k + n] * _FACTORS[k]
-            rows.append(row)
-        for row, given in zip(rows, (left >= width, (left >= width) & (rows[0] != rows[1]))):
-            at = np.flatnonzero(given if sought is None else given & sought.among(row))
+        rows = [rolled(kind, width) for kind in (typed, kept)]
+        whole, bare, differ = left >= width, slots[width : width + n] - slots[:n] == width, rows[0] != rows[1]
+        given = [(rows[0], whole & ~bare), (rows[1], whole & differ)]
+        numbers = whole & bare & ~differ
+        if numbers.any():
+            values = np.concatenate([_values(texts, ends, np.flatnonzero(numbers), n), np.zeros(WINDOW, np.uint64)])
+            given.append((rolled(values, width) * _FACTORS[0], numbers))
+        for row, here in given:
+            at = np.flatnonzero(here if sought is None else here & sought.among(row))
             text = np.searchsorted(ends, at, side="right")
             found.append((text, at - starts[text], row[at].view(np.int64), width))
     return found

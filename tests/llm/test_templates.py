@@ -1,3 +1,8 @@
+import random
+import re
+import time
+from collections import Counter
+
 from opinara.llm import templates
 
 ITEM = "If Anna buys 12 apples at 3 kg each and gives Tom 5 of them then how many apples does Anna have left today"
@@ -73,3 +78,89 @@ def test_odd_slots(spark):
     ).collect()
     assert {(r.doc_key, r.item_id): r.n_words for r in rows} == {(1, 1): 23, (2, 1): 24, (3, 3): 6, (4, 1): 24, (5, 1): 20}
     assert templates.odd_places([{"i": 0, "ours": "a", "theirs": "b"}, {"i": 3, "ours": "a", "theirs": "a"}, {"i": 5, "ours": "c", "theirs": "b"}]) == [0]
+
+
+def brute(doc, item):
+    """(words covered, as written) of the best-covered item places over all alignments, by comparing words; None below one half."""
+    kind = lambda w: "0" if w[0].isdigit() else "N" if w[0].isupper() else w.casefold()
+
+    def parts(text):
+        words = re.findall(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+", text or "")
+        typed = list(map(kind, words))
+        second = ["0" if w[0].isdigit() else w.casefold() for w in words]
+        for i in range(1, len(words)):
+            if typed[i - 1] == "0" and words[i].lower() in templates.UNITS:
+                typed[i] = second[i] = "U"
+        return words, typed, second
+
+    (ours, ours_typed, ours_second), (theirs, typed, second) = parts(item), parts(doc)
+    n = len(ours)
+    width = min(n, 8)
+    slot = [t in ("0", "N", "U") for t in ours_typed]
+    value = lambda words, i: words[i].casefold()
+    total, written = set(), True
+    for shift in range(-n, len(theirs)):
+        places = []
+        for p in range(n - width + 1):
+            if p + shift < 0 or p + shift + width > len(theirs):
+                continue
+            a, b = slice(p, p + width), slice(p + shift, p + shift + width)
+            if all(t in ("0", "U") for t in ours_typed[a]):
+                hit = ours_typed[a] == typed[b] and [w.casefold() for w in ours[a]] == [w.casefold() for w in theirs[b]]
+            else:
+                hit = (ours_typed[a] == typed[b] and not all(slot[a])) or ours_second[a] == second[b]
+            if hit:
+                places.append(p)
+        spread = lambda chosen: sorted({i for p in chosen for i in range(p, p + width)})
+        whole = spread(places)
+        counts = {}
+        for i in whole:
+            if slot[i]:
+                counts.setdefault(value(ours, i), Counter())[value(theirs, i + shift)] += 1
+        agree = all(len(c) == 1 for c in counts.values())
+        if not agree:
+            most = {x: max(c, key=lambda t, x=x, c=c: (c[t], t == x, t)) for x, c in counts.items()}
+            odd = {i for i in whole if slot[i] and value(theirs, i + shift) != most[value(ours, i)]}
+            own = [i for i in whole if not slot[i] or value(ours, i) == value(theirs, i + shift)]
+            rest = spread([p for p in places if not odd & set(range(p, p + width))])
+            whole = sorted({*rest, *own}) if len(own) / n >= 0.5 else rest
+        if not whole:
+            continue
+        same = all(value(ours, i) == value(theirs, i + shift) for i in whole)
+        literals = sum(not slot[i] or (ours_typed[i] == "N" and value(ours, i) == value(theirs, i + shift)) for i in whole)
+        if (agree and same) or literals >= 5:
+            total |= set(whole)
+            written &= all(ours[i] == theirs[i + shift] for i in whole)
+    return (len(total), written) if total and len(total) / n >= 0.5 else None
+
+
+def test_equals_brute_force_with_odd_slots(spark):
+    rng = random.Random(12)
+    vocabulary = "the a of rivers small stones then how many does have left".split() + ["Anna", "Tom", "Eve", "3", "5", "12", "1,000", "kg", "m", "PLAIN", "Paris"]
+    sentence = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    items = [sentence(rng.choice([3, 6, 9, 14, 30])) for _ in range(12)] + [[str(rng.randint(0, 9)) for _ in range(12)], ["Anna", "Tom", "Eve"] * 4]
+    docs = []
+    for _ in range(300):
+        words = list(rng.choice(items))
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        start, end = rng.choice([(0, len(words)), (0, len(words)), (0, max(1, len(words) * 2 // 3))])
+        text = " ".join([*sentence(rng.randint(0, 8)), *words[start:end], *sentence(rng.randint(0, 8))])
+        docs.append(rng.choice([text, text, text, text.upper(), text.lower()]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    given = [(i, " ".join(x)) for i, x in enumerate(items)]
+    rows = templates.leaks(df, spark.createDataFrame(given, "item_id long, text string"), odd=True).collect()
+    expected = {(d, i): found for d, doc in enumerate(docs) for i, item in given if (found := brute(doc, item))}
+    assert {(r.doc_key, r.item_id): (r.n_words, r.exact) for r in rows} == expected
+
+
+def test_names_and_numbers_in_a_row(spark):
+    rng = random.Random(13)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6)).capitalize()
+    items = [(i, " ".join(name() for _ in range(200))) for i in range(8)] + [(8, " ".join(str(rng.randint(0, 999)) for _ in range(200))), (9, "1 2 3 4 5 6 7 8 9")]
+    docs = [(1, " ".join(name() for _ in range(20_000))), (2, " ".join(str(rng.randint(0, 999)) for _ in range(20_000))), (3, items[0][1].upper()), (4, f"x {items[8][1]} y"), (5, "9 8 7 1 2 3 4 5 6 7 8 9")]
+    began = time.perf_counter()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = templates.leaks(df, spark.createDataFrame(items, "item_id long, text string"), odd=True).collect()
+    assert {(r.doc_key, r.item_id) for r in rows} == {(3, 0), (4, 8), (5, 9)}
+    assert time.perf_counter() - began < 60
