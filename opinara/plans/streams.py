@@ -54,7 +54,8 @@ helpful_votes, helpful_votes AS total_votes, review_ts AS scrape_ts FROM rv"""
 @query("scan_reviews_json", RV + _CANONICAL_SQL)
 def scan_reviews_json(spark, sf):
     path = new_folder(spark, "reviews-json")
-    _canonical(spark, sf).write.json(path)
+    # The lines are about nine times their compressed size; a file is one writer's, so one reader's is no more.
+    _canonical(spark, sf).write.option("compression", "gzip").json(path)
     return _ntz(readers.read_reviews(spark, path, REVIEW_SCHEMA), "review_ts", "scrape_ts")
 
 

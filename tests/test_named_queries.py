@@ -30,3 +30,12 @@ def test_checks_belong_to_queries():
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 5
+
+
+def test_reviews_are_written_compressed_and_read_whole(spark, sf_dir):
+    from opinara.plans import streams, tables
+
+    got = streams.scan_reviews_json(spark, sf_dir)
+    assert all(name.endswith(".json.gz") for name in got.inputFiles())
+    assert got.count() == tables.table(spark, sf_dir, "lineitem").count()
+    assert got.where("review_id IS NULL OR overall IS NULL OR review_ts IS NULL").count() == 0
