@@ -20,6 +20,8 @@ from opinara.workspace import stored
 #: Fixed value: the count that smoothing adds to each term and class.
 SMOOTHING = 1.0
 CLASSES = tuple(CLASS_LABELS)
+#: Terms of a large model that are broadcast, the most frequent ones; the others are joined.
+FREQUENT = 50_000
 
 
 @dataclass
@@ -77,14 +79,28 @@ def balanced_training(df: DataFrame, key: str, text: str = "reviews") -> DataFra
     return filtered_tokens(copies_of(train, key), text).select(key, "words", "sentiment", "copies")
 
 
+def _known(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``counts`` of the terms of a model, with what the model has of each.
+
+    Most of what texts hold are a large model's most frequent terms. These, ``FREQUENT`` at most, are broadcast, so that their rows
+    become one row of sums per text before any shuffle; only rarer terms are joined by a shuffle. A smaller model is the planner's choice.
+    """
+    cut = terms.select("df").orderBy(F.desc("df")).offset(FREQUENT).first()
+    if cut is None:
+        return counts.join(terms, "term")
+    frequent = F.broadcast(terms.where(F.col("df") > cut["df"]))
+    rare = counts.join(frequent.select("term"), "term", "left_anti").join(terms.where(F.col("df") <= cut["df"]), "term")
+    return counts.join(frequent, "term").unionByName(rare)
+
+
 def score_bayes(texts: DataFrame, model: BayesTables, key: str, words: str = "words") -> DataFrame:
     """``(key, sentiment)`` for each text of ``(key, words)``; the first of equally likely classes.
 
-    Terms are joined by the planner's choice, a large model by merging, where a hot term can be split. Each text is reduced to one row of sums.
+    A large model's frequent terms are broadcast, its others joined by merging. Each text is reduced to one row of sums.
     A text without known terms gets the likeliest class.
     """
     counts = term_counts(texts.select(F.struct(F.col(key).alias("key")).alias("row"), words), "row", words).select(F.col("row.key").alias("key"), "term", "tf")
-    known = counts.join(model.terms, "term").withColumn("v", F.col("tf") * F.col("idf"))
+    known = _known(counts, model.terms).withColumn("v", F.col("tf") * F.col("idf"))
     sums = known.groupBy("key").agg(F.sum("v").alias("v"), *[F.sum(F.col("v") * F.col(f"w{c}")).alias(f"a{c}") for c in CLASSES])
     classes = {r["sentiment"]: r for r in model.classes.collect()}
     met = texts.select(F.col(key).alias("__key")).join(sums, F.col("__key").eqNullSafe(F.col("key")), "left")

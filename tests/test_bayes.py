@@ -45,6 +45,26 @@ def test_no_vocabulary_in_the_plan(spark):
     assert "Broadcast" not in plan and "Python" not in plan and "UDF" not in plan
 
 
+def test_frequent_terms_move_no_rows_of_theirs(spark, monkeypatch):
+    df = _texts(spark)
+    model = bayes.train_bayes(bayes.balanced_training(df, "doc_id"), "doc_id")
+    odd = spark.createDataFrame([(1, ["c0w1", "c0w2"]), (1, ["c0w1"]), (None, ["any1", "c2w3"]), (900, ["unseen"]), (901, None)], "doc_id long, words array<string>")
+    words = bayes.filtered_tokens(df, "reviews").select("doc_id", "words").unionByName(odd)
+    scores = lambda: bayes.score_bayes(words, model, "doc_id")
+    rows = lambda: sorted((r.doc_id or -1, r.sentiment) for r in scores().collect())
+    whole = rows()
+    monkeypatch.setattr(bayes, "FREQUENT", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = scores()._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+        assert rows() == whole
+        monkeypatch.setattr(bayes, "FREQUENT", 0)
+        assert rows() == whole
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, ["a"] * 3, 0, 9), (2, ["b"], 2, 10), (3, [], 2, 1), (4, ["b"], 7, 5), (5, None, 0, 1)], "k int, words array<string>, sentiment int, copies int")
     model = bayes.train_bayes(df, "k", max_df=1.0)
