@@ -230,6 +230,14 @@ def test_vocabulary_has_every_term_between_its_bounds(spark):
         modelling.fit_features(texts, size=1)
 
 
+def test_a_model_has_all_terms_however_many(spark):
+    many = (1 << 18) + 500
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(many)), lambda i: F.translate(F.concat(F.lit("zz"), i.cast("string")), "0123456789", "abcdefghij")), " ")
+    texts = spark.range(7).select(F.when(F.col("id") < 5, words).otherwise("other").alias("reviews"))
+    assert len(modelling.fit_features(texts).stages[2].vocabulary) == many
+    assert modelling.pipeline("NaiveBayes").getStages()[2].getVocabSize() > many
+
+
 def test_weights_are_not_forced_to_be_broadcast(spark):
     rows = spark.createDataFrame([(1, ["a"])], "id int, words array<string>")
     counts = features.term_counts(rows, "id")
