@@ -2,8 +2,10 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -254,6 +256,28 @@ def test_collected_records_are_scored(spark, prepared):
     assert (row["reviewerName"], row["summary"], row["reviewTime"], row["sentiment_label"]) == ("Ann", "superb", "2024-03-05", "Positive")
 
 
+def test_fits_take_the_cores_and_the_memory_there_are(spark, prepared):
+    features = modelling.fit_features(prepared)
+    rows = features.transform(prepared).select("features").repartition(40).cache()
+    cores = spark.sparkContext.defaultParallelism
+    assert modelling.in_tasks(rows, None).rdd.getNumPartitions() == 40
+    assert modelling.in_tasks(rows, None, fits=1).rdd.getNumPartitions() == cores
+    assert modelling.in_tasks(rows, 1, fits=4).rdd.getNumPartitions() == max(1, cores // 4)
+    assert modelling.in_tasks(rows, 10_000).rdd.getNumPartitions() == 1
+    rows.unpersist()
+    assert modelling.fits_at_once(spark, features, 8) == 8
+    heap = spark.sparkContext._jvm.Runtime.getRuntime().maxMemory()
+
+    class Wide(CountVectorizerModel):
+        def __init__(self):
+            pass
+
+        _java_obj = None
+        vocabulary = range(heap // 2_000)
+
+    assert modelling.fits_at_once(spark, SimpleNamespace(stages=[Wide()]), 8) == 1
+
+
 def test_training_preparation(spark):
     raw = spark.createDataFrame([(None, "s", 3.0), ("x", None, 1.0), ("Good [a]", "!", None)], "reviewText string, summary string, overall double")
     got = scoring.prepare_training(raw).select("reviews", "sentiment").collect()
