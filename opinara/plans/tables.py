@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from opinara.functions.labels import label_from_rating, sentiment_label
 from opinara.sources.readers import spread
 
+#: Labels that are broadcast, at most: two numbers each and their key, some 100 MB. More are joined to the texts by a shuffle of both.
+LABELS = 2_000_000
+
 REVIEWS_SQL = """rv0 AS (
   SELECT l.l_orderkey || '-' || l.l_linenumber AS review_id, 'P' || l.l_partkey AS asin,
          'C' || o.o_custkey AS reviewer_id, c.c_name AS reviewer_name, p.p_name AS title,
@@ -134,6 +137,11 @@ def rating_of(quality: Column, toxic: Column, doc_id: Column) -> Column:
     )
 
 
+def few_broadcast(rows: DataFrame) -> DataFrame:
+    """Narrow rows to be joined to whole texts: broadcast if there are at most ``LABELS``, so that no text is shuffled; else as the planner likes."""
+    return F.broadcast(rows) if rows.count() <= LABELS else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reviews: the whole text, a rating where there is a label.
 
@@ -141,7 +149,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text that has more than one.
     """
     text = F.col("text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    labels = few_broadcast(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
     withheld = F.coalesce((F.col("quality") == 0) & (F.col("toxic") == 1), F.lit(False))
     return (
         spread(table(spark, sf_dir, "documents"))

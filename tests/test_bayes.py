@@ -86,3 +86,25 @@ def test_repeated_words_of_a_lexicon(spark, monkeypatch):
     few = rows()
     monkeypatch.setattr(features, "IN_ROW", 1)
     assert few == rows() == {1: round((0.75 + 0.75 - 1) / 3, 6), 2: -1.0, 3: 0.0}
+
+
+def test_texts_are_not_shuffled_to_their_labels(spark, tmp_path, monkeypatch):
+    from opinara.plans import learning
+    from opinara.plans import tables as t
+
+    sf = str(tmp_path)
+    docs = [(i, f"one{i % 3} two", "en", "s", 8) for i in range(60)] + [(7, "again", None, "s", 5), (None, "no key", "en", "s", 6), (61, None, "en", "s", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    labels = [(i, i % 2, i % 5 // 4) for i in range(0, 60, 2)] + [(6, 1, None), (7, 0, 1), (9, None, 1), (None, 1, 1), (999, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    plan = lambda: learning.cleaned(learning.rated(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    rows = lambda: sorted(map(repr, t.documents(spark, sf).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastHashJoin" in plan() and "hashpartitioning" not in plan()
+        whole = rows()
+        monkeypatch.setattr(t, "LABELS", len(labels) - 1)
+        assert "SortMergeJoin" in plan()
+        assert rows() == whole
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
