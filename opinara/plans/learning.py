@@ -180,7 +180,7 @@ def prediction_distribution(spark, sf):
 # Trained models. Bayes is arithmetic that SQL can repeat; for the others SQL states what must hold on the same splits.
 
 
-def _trained(spark, sf, name: str):
+def trained(spark, sf, name: str):
     train, _, _ = modelling.balanced_splits(cleaned(rated(spark, sf)), "doc_id")
     model = modelling.fit(modelling.classifiers()[name], train.persist())
     train.unpersist()
@@ -203,7 +203,7 @@ FROM documents d LEFT JOIN sp ON d.doc_id = sp.doc_id GROUP BY 1"""
 
 def _score_facts(spark, sf, name: str):
     """Per split: rows scored, whether all scores are classes, and whether training rows are met as often as by naming their largest class."""
-    scores = _scored(spark, sf, _trained(spark, sf, name)).select("doc_id", F.col("sentiment").alias("given"))
+    scores = _scored(spark, sf, trained(spark, sf, name)).select("doc_id", F.col("sentiment").alias("given"))
     true = hash_split(spark, sf)
     met = F.avg((F.col("given") == F.col("sentiment")).cast("double"))
     largest = F.greatest(*[F.avg((F.col("sentiment") == c).cast("double")) for c in (0, 1, 2)])
@@ -253,7 +253,7 @@ LABEL_SQL = "CASE best.sentiment WHEN 0 THEN 'Negative' WHEN 1 THEN 'Neutral' EL
 
 @query("score_bayes", bayes_sql("tg AS (SELECT * FROM tf)", f"SELECT doc_id, sentiment, {LABEL_SQL} FROM best"))
 def score_bayes(spark, sf):
-    return _scored(spark, sf, _trained(spark, sf, "NaiveBayes"))
+    return _scored(spark, sf, trained(spark, sf, "NaiveBayes"))
 
 
 def _bayes_tables(spark, sf):
@@ -293,7 +293,7 @@ def pipeline_scores(spark, sf):
 @query("saved_model_scores", "SELECT doc_id, true AS equal FROM documents")
 def saved_model_scores(spark, sf):
     """Whether a model gives the same scores after it was stored and loaded."""
-    model, path = _trained(spark, sf, "NaiveBayes"), new_folder(spark, "model")
+    model, path = trained(spark, sf, "NaiveBayes"), new_folder(spark, "model")
     modelling.save_model(model, path)
     before = _scored(spark, sf, model).select("doc_id", F.col("sentiment").alias("before"))
     after = _scored(spark, sf, modelling.load_model(path)).join(before, "doc_id")

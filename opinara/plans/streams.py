@@ -383,8 +383,7 @@ FROM rd JOIN best ON rd.doc_id = best.doc_id WHERE review_text IS NOT NULL""",
 )
 def stream_scores(spark, sf):
     """Documents as JSON records on a file stream, scored by a model trained on the rated ones."""
-    train, _, _ = modelling.balanced_splits(learning.cleaned(learning.rated(spark, sf)), "doc_id")
-    model = modelling.fit(modelling.classifiers()["NaiveBayes"], train)
+    model = learning.trained(spark, sf, "NaiveBayes")
     records = t.documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("reviewerID"),
         "asin",

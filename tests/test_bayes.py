@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
@@ -108,3 +109,19 @@ def test_texts_are_not_shuffled_to_their_labels(spark, tmp_path, monkeypatch):
         assert rows() == whole
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_models_are_trained_on_kept_rows(spark, sf_dir, monkeypatch):
+    from opinara.plans import learning, streams
+
+    class Seen(Exception):
+        pass
+
+    def fit(estimator, train):
+        assert train.is_cached
+        raise Seen
+
+    monkeypatch.setattr(modelling, "fit", fit)
+    for query in (streams.stream_scores, learning.score_bayes):
+        with pytest.raises(Seen):
+            query(spark, sf_dir)
