@@ -111,9 +111,13 @@ def test_texts_are_not_shuffled_to_their_labels(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_models_are_trained_on_kept_rows(spark, sf_dir, monkeypatch):
+def test_models_are_trained_on_kept_rows(spark, tmp_path, monkeypatch):
     from opinara.plans import learning, streams
 
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "one two", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+
     class Seen(Exception):
         pass
 
@@ -124,4 +128,4 @@ def test_models_are_trained_on_kept_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(modelling, "fit", fit)
     for query in (streams.stream_scores, learning.score_bayes):
         with pytest.raises(Seen):
-            query(spark, sf_dir)
+            query(spark, sf)
